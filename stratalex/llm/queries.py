@@ -7,16 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalex.llm import exact_dedup, packing, sharding, token_store
+from stratalex.llm import decontaminate, exact_dedup, packing, sharding, token_store, url_filter
 from stratalex.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
+RULES = tuple(
+    url_filter.Rule(*r.split())
+    for r in ("block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/")
+)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, RULES, url_filter.fit(url_filter.weak_labels(pages)))
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(spark, table(spark, sf_dir, "documents"), VOCABULARY, end_id=2)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_k")
+
+
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+dw AS (
+  SELECT r, s, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS g
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+hit AS (SELECT dw.r, dw.s, dw.k, iw.item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.g = iw.g),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT r, s, k FROM hit)) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+       sha256(coalesce(t.ids, '')) AS items_sha256, n.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN t ON t.r = d.r
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -51,7 +86,9 @@ SELECT p.doc_id, p.slot, CAST(o.shard_id AS INTEGER) AS shard_id FROM placed p J
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_token_store": op2_token_store,
+        "op5_decontaminate": op5_decontaminate,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_sharding": op10_sharding,
@@ -59,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6, "op10_sharding": _op10()}
+    return {"op5_decontaminate": OP5, "op6_exact_dedup": OP6, "op10_sharding": _op10()}
