@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalex.llm import decontaminate, exact_dedup, packing, sharding, token_store, url_filter
+from stratalex.llm import decontaminate, exact_dedup, html_content, packing, sharding, substring_dedup, token_store, toxicity, url_filter
 from stratalex.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,6 +26,15 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digest(spark, table(spark, sf_dir, "documents"), VOCABULARY, end_id=2)
 
 
+def op3_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_k")
 
@@ -64,6 +73,29 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT r, doc_id, s, md5(array_to_string(list_slice(w, s, s + 19), ' ')) AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+f AS (SELECT g, min(doc_id) AS first_doc FROM win GROUP BY g),
+l AS (SELECT g, r, min(s) AS first_start FROM win GROUP BY g, r),
+gone AS (
+  SELECT DISTINCT r, unnest(range(s, s + 20)) AS p
+  FROM win JOIN f USING (g) JOIN l USING (g, r) WHERE first_doc < doc_id OR first_start < s),
+kept AS (
+  SELECT w.r, string_agg(w.x, ' ' ORDER BY w.p) AS t
+  FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) w ANTI JOIN gone ON gone.r = w.r AND gone.p = w.p GROUP BY w.r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), VOCABULARY, end_id=0)
 
@@ -88,12 +120,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_token_store": op2_token_store,
+        "op3_html_content": op3_html_content,
+        "op4_toxicity": op4_toxicity,
         "op5_decontaminate": op5_decontaminate,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5, "op6_exact_dedup": OP6, "op10_sharding": _op10()}
+    return {"op5_decontaminate": OP5, "op6_exact_dedup": OP6, "op7_substring_dedup": OP7, "op10_sharding": _op10()}
