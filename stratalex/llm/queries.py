@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalex.llm import decontaminate, exact_dedup, html_content, packing, sharding, substring_dedup, token_store, toxicity, url_filter
+from stratalex.llm import decontaminate, exact_dedup, html_content, near_dedup, packing, sharding, substring_dedup, token_store, toxicity, url_filter
 from stratalex.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -96,6 +96,10 @@ FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN kept ON kept.r = d.r
 """
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("_h")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), VOCABULARY, end_id=0)
 
@@ -125,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": op5_decontaminate,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_near_dedup": op8_near_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_sharding": op10_sharding,
     }

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 TOXIC_ROWS, UNLABELLED_ROWS = 4_000, 12_000
 #: Words in the model; toxic sample texts, and their share, that a word must stand in.
 WORDS, LEAST_TEXTS, LEAST_SHARE = 3_000, 3, 0.01
+#: Share of toxic texts among those with the word, as the two samples tell it, at least.
+LEAST_POSTERIOR = 0.4
 #: Class prior where the labels don't give one (no clean labels); score of a toxic text.
 PRIOR, THRESHOLD = 0.1, 0.3
 #: Lengths of the beginnings of words.
@@ -123,8 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model({}, float(np.log(prior / (1 - prior))))
     seen = sample.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("u"))
     t, u = F.col("t") / sizes[1], F.col("u") / sizes[0]
-    # how far the word's share among toxic texts stands out from that among all
-    ranked = seen.where(F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * sizes[1])).withColumn("gain", F.abs(t - u) * F.abs(F.log((t + 1e-3) / (u + 1e-3))))
+    # words that, by their shares, mark toxic texts; how far the share among toxic texts stands out from that among all
+    ranked = seen.where(F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * sizes[1])).where(prior * t >= LEAST_POSTERIOR * u).withColumn("gain", F.abs(t - u) * F.abs(F.log((t + 1e-3) / (u + 1e-3))))
     number = {r["w"]: i for i, r in enumerate(ranked.orderBy(F.desc("gain"), "w").limit(WORDS).collect())}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
