@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WINDOW_MS, CHAT_LIMIT, API_LIMIT = 60_000, 30, 300
 
@@ -43,30 +43,26 @@ def limit_batch(requests: DataFrame, chat_limit: int = CHAT_LIMIT, api_limit: in
     return folded.select("o.request_id", "key", F.col("o.start").alias("window_start"), F.col("o.n").alias("n_in_window"), (F.col("o.n") <= limit).alias("allowed"))
 
 
-class WindowCounter(StatefulProcessor):
-    """State of a key: start of its window and requests in it."""
-
-    def __init__(self, chat_limit: int = CHAT_LIMIT, api_limit: int = API_LIMIT) -> None:
-        self.limits = {"chat": chat_limit, "api": api_limit}
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("entry", "start long, n long", 2 * WINDOW_MS)
+def limit_stream(requests: DataFrame, chat_limit: int = CHAT_LIMIT, api_limit: int = API_LIMIT) -> DataFrame:
+    """The streaming form: start and count of a key's window as state.
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ms", "request_id"])
-        start, n = self.entry.get() if self.entry.exists() else (None, 0)
+    A key that is silent for two windows loses its state, which changes no decision.
+    """
+    limits = {"chat": chat_limit, "api": api_limit}
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ms", "request_id"])
+        start, n = state.get if state.exists else (None, 0)
         out = []
-        for ms, request, tier in zip(batch["ms"], batch["request_id"], batch["tier"], strict=True):
-            start, n = (ms, 1) if start is None or start < ms - WINDOW_MS else (start, n + 1)
-            out.append((int(request), key[0], int(start), int(n), n <= self.limits[tier]))
-        self.entry.update((int(start), int(n)))
+        for ms, request, tier in zip(rows["ms"], rows["request_id"], rows["tier"], strict=True):
+            start, n = (int(ms), 1) if start is None or start < ms - WINDOW_MS else (start, n + 1)
+            out.append((int(request), key[0], start, n, n <= limits[tier]))
+        state.update((start, n))
+        state.setTimeoutDuration(2 * WINDOW_MS)
         yield pd.DataFrame(out, columns=["request_id", "key", "window_start", "n_in_window", "allowed"])
 
-    def close(self) -> None:
-        pass
-
-
-def limit_stream(requests: DataFrame, chat_limit: int = CHAT_LIMIT, api_limit: int = API_LIMIT) -> DataFrame:
-    """The streaming form; needs the RocksDB state store."""
     schema = "request_id long, key string, window_start long, n_in_window long, allowed boolean"
-    return with_key(requests).groupBy("key").transformWithStateInPandas(WindowCounter(chat_limit, api_limit), schema, "Append", "ProcessingTime")
+    return with_key(requests).groupBy("key").applyInPandasWithState(count, schema, "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
