@@ -76,7 +76,9 @@ def _batch(names: str, types: list, columns: list) -> pa.RecordBatch:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """For each document: id, n_words, n_removed, kept_sha256, kept_text (binary, zstd).
+    """For each document: id, n_words, n_removed, kept_sha256, kept_text.
+
+    ``kept_text`` is the kept words joined by spaces, as zstd bytes; null if all are kept.
 
     A word goes if a window over it starts earlier too, in a document of a smaller id or
     further up in the same one; windows are judged on the input.  Words are separated by
@@ -126,7 +128,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     maybe = ~np.isin(stand, single[i].values.to_numpy()) if single[i].is_valid else np.ones(len(stand), bool)
                     runs = _runs(maybe) if maybe.any() else None
                 sha = None if runs else hashlib.sha256(b" ".join(text.split())).hexdigest()
-                for column, x in zip(out, (doc, len(words), z, runs, sha), strict=True):
+                for column, x in zip(out, (doc, len(words), z if runs else None, runs, sha), strict=True):
                     column.append(x)
             yield _batch("id n_words z runs sha", [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()], out)
 
@@ -167,7 +169,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     again[start[np.isin(value, own)]] = False
                 gone = _spread(at[again], len(words), window)
                 kept = b" ".join(w for w, g in zip(text.split(), gone.tolist(), strict=True) if not g)
-                for column, x in zip(out, (doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), pack(kept)), strict=True):
+                for column, x in zip(out, (doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), pack(kept) if gone.any() else None), strict=True):
                     column.append(x)
             yield _batch("id n_words n_removed sha z", [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()], out)
 
