@@ -3,10 +3,12 @@
 Each text block of a page lies on a tag path from the root.  For every path the text length
 and the punctuation of its blocks are summed up and divided by their number; both ratios
 are smoothed over the blocks in page order, fused into one score and averaged for each
-path.  Paths over the threshold are content; the element that holds nearly all of their
-text is the article, and all its text blocks are returned in page order.  Elements that are
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
-comments by tag, role, class or id have no part in it.
+path.  Blocks on paths over the threshold are content and all of them are returned, in page
+order.  Other blocks are returned where they belong to content: those between content
+blocks, or between the title and the first of them, and list items, table cells and the
+like that go on from content.  Outside an article such a block must not be mostly links.
+Elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles or reader comments by tag, role, class or id have no part in it.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: Paths count as content from this share of the standard deviation of all scores.
 THRESHOLD = 0.8
-#: The article is the deepest element with this share of the text on content paths.
-HELD = 0.8
+#: A block with more than this share of its text in links is mostly links.
+LINKED = 0.5
 SMOOTH = np.array([0.25, 0.5, 0.25])
 
 # What the names of tags, roles, classes and ids stand for.
@@ -33,7 +35,8 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
-LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre figcaption caption summary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dd dt td th pre figcaption caption blockquote".split())
 DROP_TAGS = frozenset("head nav header footer aside form menu dialog button label fieldset".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 DROP_NAMES = frozenset(
@@ -85,25 +88,33 @@ class _Page:
     def __init__(self, source: str) -> None:
         self.parent, self.tag, self.path, self.drop, self.main = [-1], ["#"], [""], [False], [False]
         self.blocks: list[tuple[int, str]] = []
+        self.linked: list[float] = []  # share of each block's text in links
         stack, text, at = [0], [], 0  # at: the nearest block element
+        links, in_link = 0, 0  # characters in links; open links
 
         def flush() -> None:
+            nonlocal links
             if text:
-                joined = " ".join(html_lib.unescape("".join(text)).split())
+                raw = "".join(text)
+                joined = " ".join(html_lib.unescape(raw).split())
                 if joined:
                     self.blocks.append((at, joined))
+                    self.linked.append(links / max(1, len("".join(raw.split()))))
                 text.clear()
+                links = 0
 
         def close(down_to: int) -> None:
-            nonlocal at
+            nonlocal at, in_link
             if any(self.tag[e] in BLOCK for e in stack[down_to:]):
                 flush()
+            in_link -= sum(self.tag[e] == "a" for e in stack[down_to:])
             del stack[down_to:]
             at = next((e for e in reversed(stack) if self.tag[e] in BLOCK), 0)
 
         for m in _TOKEN.finditer(source):
             if (t := m["text"]) is not None:
                 text.append(t)
+                links += len("".join(t.split())) if in_link else 0
                 continue
             if not (tag := m["tag"]):
                 continue
@@ -149,6 +160,7 @@ class _Page:
             self.drop.append(tag in DROP_TAGS or (marked and tag not in KEEP_TAGS))
             self.main.append(tag in ("article", "main", "h1"))
             stack.append(e)
+            in_link += tag == "a"
             if tag in BLOCK:
                 at = e
         flush()
@@ -168,7 +180,9 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = _Page(source)
-    blocks = [(e, t) for e, t in page.blocks if not page.drop[e]]
+    shown = [not page.drop[e] for e, _ in page.blocks]
+    blocks = [b for b, ok in zip(page.blocks, shown, strict=True) if ok]
+    linked = [x for x, ok in zip(page.linked, shown, strict=True) if ok]
     if not blocks:
         return ""
     paths, at = np.unique([page.path[e] for e, _ in blocks], return_inverse=True)
@@ -180,22 +194,38 @@ def main_text(source: str | None) -> str:
     fused = _smoothed(length) * np.log1p(_smoothed(points) + 1)
     score = np.bincount(at, fused) / nodes
     content = (score >= min(THRESHOLD * fused.std(), score.max()))[at]
-    held = np.zeros(len(page.tag))
-    for (e, _), n, ok in zip(blocks, size, content, strict=True):
-        if ok:
-            held[e] += n
+    return " ".join(t for (_, t), ok in zip(blocks, _joined(page, blocks, linked, content), strict=True) if ok)
+
+
+def _joined(page: _Page, blocks: list[tuple[int, str]], linked: list[float], content: np.ndarray) -> np.ndarray:
+    """The content blocks and those that belong to them."""
+    tags = [page.tag[e] for e, _ in blocks]
+    kept = content.copy()
+    first, last = np.flatnonzero(content)[[0, -1]]
+    title = next((i for i in range(first, -1, -1) if tags[i] == "h1"), first)
+    within = [False] * len(page.tag)  # in an article, which the page itself marks
+    for e in range(1, len(page.tag)):
+        within[e] = within[page.parent[e]] or page.tag[e] in ("article", "main")
+    for i in range(title, last):
+        kept[i] |= within[blocks[i][0]] or linked[i] <= LINKED or tags[i] in HEADINGS
+    held = np.bincount([blocks[i][0] for i in np.flatnonzero(kept)], minlength=len(page.tag))
     for e in range(len(page.tag) - 1, 0, -1):
         held[page.parent[e]] += held[e]
-    best = max((e for e in range(len(page.tag)) if page.tag[e] not in LEAF and (e == 0 or page.tag[e] in BLOCK) and held[e] >= HELD * held[0]), default=0)
+    best = int(np.flatnonzero(held == held[0])[-1])  # the smallest element that holds all content
     outer = best
     while outer > 0 and page.tag[outer] not in ("article", "main"):
         outer = page.parent[outer]
     best = outer or best
-    inside = np.zeros(len(page.tag), bool)
-    inside[best] = True
+    inside = [e == best for e in range(len(page.tag))]
     for e in range(best + 1, len(page.tag)):
-        inside[e] = inside[page.parent[e]]
-    return " ".join(t for e, t in blocks if inside[e])
+        inside[e] |= inside[page.parent[e]]
+    for step, i in ((-1, title - 1), (1, last + 1)):
+        while 0 <= i < len(blocks) and inside[blocks[i][0]] and linked[i] <= LINKED:
+            if tags[i] not in ITEMS and not (step < 0 and tags[i] in HEADINGS):
+                break
+            kept[i] = True
+            i += step
+    return kept
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

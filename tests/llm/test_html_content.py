@@ -47,3 +47,22 @@ def test_generated_pages():
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)>", " ", inner))).split())
         assert html_content.main_text(r["html"]) == want
+
+
+def test_content_outside_the_largest_element():
+    body = " ".join(f"Sentence number {i}, of the body. It goes on, and on; here." for i in range(12))
+    lead = "A lead of one sentence, or two."
+    got = html_content.main_text(page(f"<div><h1>Title</h1><p>{lead}</p><div class=body><p>{body}</p><p>{body}</p></div></div>"))
+    assert got == f"Title {lead} {body} {body}"
+    intro = "The intro stands before the list, and says what is in it."
+    items = [f"Item {i}, with a sentence. And another, longer one." for i in range(20)]
+    got = html_content.main_text(page(f"<div><p>{intro}</p><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul></div>"))
+    assert got == " ".join([intro, *items])
+
+
+def test_ratios_decide_in_an_article():
+    body = "".join(f"<p>Sentence number {i}, of the body. It goes on, and on; here. {'More, and more. ' * 12}</p>" for i in range(6))
+    tail = "".join(f"<div class=x><a href=#>Link {i}</a></div>" for i in range(30))
+    for wrap in ("<article>{}</article>", "<div>{}</div>"):
+        got = html_content.main_text(page(wrap.format(f"<h1>Title</h1>{body}<h2>Part</h2>{body}<ul>{''.join(f'<li>item {i}</li>' for i in range(9))}</ul>{tail}")))
+        assert got.startswith("Title Sentence") and " Part Sentence" in got and got.endswith(" item 8")
