@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from stratalex.llm.common import lower_ascii, written
 
-#: Labelled URLs that trees and suffix statistics are fitted on, about; a hash picks them.
+#: Labelled URLs that the trees are fitted on, about; a hash picks them.
 TRAIN_ROWS = 20_000
+#: Bytes of suffix statistics, about, up to which they are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1 << 24
 #: Weight of the overall rate in a suffix's smoothed rate.
 SMOOTHING = 20.0
 #: Rules are tried in one expression; more of them are refused.
@@ -105,54 +107,56 @@ def with_features(urls: DataFrame, host: str, path: str, url: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Fitted trees with the suffix statistics they were fitted on."""
+    """Fitted trees, and the suffix statistics of all labelled URLs."""
 
     model: GBTClassificationModel | None
-    suffixes: DataFrame  # suffix, rate, seen: at most about TRAIN_ROWS rows
+    suffixes: DataFrame  # suffix, rate, seen
     rate: float
     names: tuple[str, ...]
+    small: bool  # whether the suffixes can be broadcast
 
     def score(self, urls: DataFrame, host: str, path: str, url: str) -> DataFrame:
         """Adds ``f_...`` features and ``_block``: 1.0 to block, 0.0 to allow."""
         if self.model is None:
             return urls.withColumn("_block", F.lit(float(self.rate >= 0.5)))
-        rows = _with_suffix(with_features(urls, host, path, url), host, self.suffixes, self.rate)
+        rows = _with_suffix(with_features(urls, host, path, url), host, self.suffixes, self.rate, self.small)
         rows = VectorAssembler(inputCols=list(self.names), outputCol="_features").transform(rows)
         return self.model.transform(rows).withColumn("_block", F.col("_prediction"))
 
 
-def _with_suffix(rows: DataFrame, host: str, suffixes: DataFrame, rate: float) -> DataFrame:
-    rows = rows.join(F.broadcast(suffixes), suffix_of(F.col(host)) == F.col("_suffix"), "left")
+def _with_suffix(rows: DataFrame, host: str, suffixes: DataFrame, rate: float, small: bool) -> DataFrame:
+    """Adds the statistics of the host's suffix; a frequent one is split by AQE in a shuffle join."""
+    rows = rows.join(F.broadcast(suffixes) if small else suffixes.hint("merge"), suffix_of(F.col(host)) == F.col("_suffix"), "left")
     return rows.withColumns({"f_suffix_rate": F.coalesce("_rate", F.lit(rate)), "f_suffix_seen": F.coalesce(F.log1p("_seen"), F.lit(0.0))})
 
 
 def fit(labelled: DataFrame, url: str = "url", label: str = "label", rows: int = TRAIN_ROWS) -> UrlModel:
-    """Fits suffix statistics and trees on about ``rows`` of the distinct labelled URLs.
+    """Suffix statistics of all distinct labelled URLs, and trees fitted on about ``rows`` of them.
 
     ``label`` is 1 to block, 0 to allow; rows without a URL or a label are left out.  With
     one class only, or no rows, the model gives that class.
     """
     known = labelled.select(F.col(url).alias("_url"), F.col(label).cast("double").alias("_label")).where("_url IS NOT NULL AND _label IS NOT NULL")
-    known = known.groupBy("_url").agg(F.max("_label").alias("_label"))
-    n = known.count()
-    cells = 1 << 30
-    picked = known.where(F.pmod(F.xxhash64("_url", F.lit(17)), F.lit(cells)) < int(min(1.0, rows / max(n, 1)) * cells))
-    sample = written(picked.withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))}), "urls")
-    total, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0.0))).first()
-    rate = blocked / total if total else 0.0
+    known = written(known.groupBy("_url").agg(F.max("_label").alias("_label")), "labelled")
+    n, blocked = known.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0.0))).first()
+    rate = blocked / n if n else 0.0
     suffixes = written(
-        sample.groupBy(suffix_of(F.col("_host")).alias("_suffix")).agg(
+        known.groupBy(suffix_of(host_of(F.col("_url"))).alias("_suffix")).agg(
             ((F.sum("_label") + SMOOTHING * rate) / (F.count("*") + SMOOTHING)).alias("_rate"), F.count("*").cast("double").alias("_seen")
         ),
         "suffixes",
     )
-    rows_ = _with_suffix(with_features(sample, "_host", "_path", "_url"), "_host", suffixes, rate)
+    small = suffixes.agg(F.coalesce(F.sum(F.octet_length("_suffix") + 48), F.lit(0))).first()[0] <= MOST_BROADCAST
+    cells = 1 << 30
+    picked = known.where(F.pmod(F.xxhash64("_url", F.lit(17)), F.lit(cells)) < int(min(1.0, rows / max(n, 1)) * cells))
+    sample = written(picked.withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))}), "urls")
+    rows_ = _with_suffix(with_features(sample, "_host", "_path", "_url"), "_host", suffixes, rate, small)
     names = tuple(c for c in rows_.columns if c.startswith("f_"))
     if not 0 < rate < 1:
-        return UrlModel(None, suffixes, rate, names)
+        return UrlModel(None, suffixes, rate, names, small)
     train = VectorAssembler(inputCols=list(names), outputCol="_features").transform(rows_)
     trees = GBTClassifier(featuresCol="_features", labelCol="_label", predictionCol="_prediction", maxIter=15, maxDepth=4, stepSize=0.3, seed=7)
-    return UrlModel(trees.fit(train.select("_features", "_label")), suffixes, rate, names)
+    return UrlModel(trees.fit(train.select("_features", "_label")), suffixes, rate, names, small)
 
 
 def weak_labels(urls: DataFrame, url: str = "url", terms: Sequence[str] = SEED_TERMS) -> DataFrame:

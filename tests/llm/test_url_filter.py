@@ -81,3 +81,16 @@ def test_plan_has_no_python(spark, model):
     rows = spark.createDataFrame([(1, "http://b", "", "", "", "")], SCHEMA).select("page_id", "url")
     plan = url_filter.judge(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), RULES, model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and rows.count() == 1
+
+
+def test_suffixes_of_all_urls(spark, monkeypatch):
+    rows = [(f"http://a{i}.s{i % 50}.com/{i}", float(i % 50 < 10)) for i in range(2000)]
+    labelled = spark.createDataFrame(rows * 2, "url string, label double")
+    m = url_filter.fit(labelled, rows=200)
+    seen = {r._suffix: (r._seen, round(r._rate, 6)) for r in m.suffixes.collect()}
+    assert m.rate == 0.2 and seen == {f"s{k}.com": (40.0, round((40 * (k < 10) + url_filter.SMOOTHING * 0.2) / (40 + url_filter.SMOOTHING), 6)) for k in range(50)}
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)] + [(None, None)], "page_id long, url string")
+    want = sorted(map(str, url_filter.judge(pages, [], m).collect()))
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST", 10)
+    shuffled = url_filter.fit(labelled, rows=200)
+    assert m.small and not shuffled.small and sorted(map(str, url_filter.judge(pages, [], shuffled).collect())) == want
