@@ -10,7 +10,7 @@ needed: a longer repeat is a run of repeated windows.
 
 Counts are sums and minima, so a passage that stands in a third of all documents crosses
 the shuffle once for each task.  What goes back to a document is a list no longer than the
-document itself.
+document itself: where an id has several texts, lists are kept for each id and text.
 """
 
 from __future__ import annotations
@@ -87,11 +87,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id do not count as earlier than each other, so repeated rows get equal results.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    repeated = not texts.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a != b").isEmpty()
+    by = ["key", "hash"] if repeated else ["key"]
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks, keys, times = [], [], []
-            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+            marks, keys, times = [], [[] for _ in by], []
+            for *of, text in zip(*(b.column(c).to_pylist() for c in (*by, "text")), strict=True):
                 words = hash_words(text.encode(), NOT_SPACE)[0]
                 if len(words) < window:
                     continue
@@ -102,24 +105,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 value, n = np.unique(half[chosen], return_counts=True)
                 marks.append(value.view(np.int64))
                 times.append(np.minimum(n, 2))
-                keys.append(np.full(len(value), key, np.int64))
+                for column, x in zip(keys, of, strict=True):
+                    column.append(np.full(len(value), x, np.int64))
             if marks:
-                yield _batch("mark key n", [pa.int64(), pa.int64(), pa.int32()], [np.concatenate(marks), np.concatenate(keys), np.concatenate(times).astype(np.int32)])
+                yield _batch(" ".join(["mark", *by, "n"]), [pa.int64(), *(pa.int64() for _ in by), pa.int32()], [np.concatenate(marks), *map(np.concatenate, keys), np.concatenate(times).astype(np.int32)])
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array([pack(t.encode()) for t in b.column("text").to_pylist()], pa.binary())], ["id", "key", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), b.column("hash"), pa.array([pack(t.encode()) for t in b.column("text").to_pylist()], pa.binary())], ["id", "key", "hash", "z"])
 
-    single = texts.select("key", "text").mapInArrow(halves, "mark long, key long, n int").groupBy("mark").agg(F.sum("n").alias("n"), F.min("key").alias("key")).where("n = 1")
-    single = single.groupBy("key").agg(F.collect_list("mark").alias("single"))
+    longs = ", ".join(f"{c} long" for c in by)
+    single = texts.select(*by, "text").mapInArrow(halves, f"mark long, {longs}, n int").groupBy("mark").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in by)).where("n = 1")
+    single = single.groupBy(*by).agg(F.collect_list("mark").alias("single"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             single = b.column("single")
-            for i, (doc, key, z) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "key", "z")), strict=True)):
+            for i, (doc, hashed, z) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "hash", "z")), strict=True)):
                 text = unpack(z) if z else b""
                 words, starts, ends = hash_words(text, NOT_SPACE)
                 runs = None
@@ -128,29 +133,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     maybe = ~np.isin(stand, single[i].values.to_numpy()) if single[i].is_valid else np.ones(len(stand), bool)
                     runs = _runs(maybe) if maybe.any() else None
                 sha = None if runs else hashlib.sha256(b" ".join(text.split())).hexdigest()
-                for column, x in zip(out, (doc, len(words), z if runs else None, runs, sha), strict=True):
+                for column, x in zip(out, (doc, hashed, len(words), z if runs else None, runs, sha), strict=True):
                     column.append(x)
-            yield _batch("id n_words z runs sha", [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()], out)
+            yield _batch("id hash n_words z runs sha", [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()], out)
 
-    prepared = texts.mapInArrow(squeezed, "id long, key long, z binary").join(single, "key", "left").select("id", "key", "z", "single")
-    prepared = written(prepared.mapInArrow(candidates, "id long, n_words long, z binary, runs binary, sha string"), "passages")
+    prepared = texts.mapInArrow(squeezed, "id long, key long, hash long, z binary").join(single, by, "left").select("id", "hash", "z", "single")
+    prepared = written(prepared.mapInArrow(candidates, "id long, hash long, n_words long, z binary, runs binary, sha string"), "passages")
     keyed = prepared.where("runs IS NOT NULL").withColumn("key", F.coalesce("id", F.lit(-(2**63))))
 
     def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            out: list[list] = [[], [], []]
-            for key, z, runs in zip(*(b.column(c).to_pylist() for c in ("key", "z", "runs")), strict=True):
+            out: list[list] = [[], [], *([] for _ in by)]
+            for *of, z, runs in zip(*(b.column(c).to_pylist() for c in (*by, "z", "runs")), strict=True):
                 one, two = full_windows(hash_words(unpack(z), NOT_SPACE)[0], window)
                 at = _unrun(runs)
                 pair = np.unique(np.rec.fromarrays([one[at], two[at]], names="one,two"))
-                for column, x in zip(out, (pair.one, pair.two, np.full(len(pair), key, np.int64)), strict=True):
+                for column, x in zip(out, (pair.one, pair.two, *(np.full(len(pair), k, np.int64) for k in of)), strict=True):
                     column.append(x)
             if out[0]:
-                yield _batch("one two key", [pa.int64(), pa.int32(), pa.int64()], [np.concatenate(c) for c in out])
+                yield _batch(" ".join(["one two", *by]), [pa.int64(), pa.int32(), *(pa.int64() for _ in by)], [np.concatenate(c) for c in out])
 
-    first = keyed.select("key", "z", "runs").mapInArrow(doubled, "one long, two int, key long").groupBy("one", "two").agg(F.min("key").alias("key"))
-    first = first.groupBy("key").agg(F.collect_list("one").alias("one"), F.collect_list("two").alias("two"))
+    windows = keyed.select(*by, "z", "runs").mapInArrow(doubled, f"one long, two int, {longs}")
+    first = windows.groupBy("one", "two").agg(F.min("key").alias("key"))
+    if repeated:  # every text of the smallest id that has the window
+        first = windows.join(first.hint("merge"), ["one", "two", "key"], "left_semi").select("one", "two", *by).distinct()
+    first = first.groupBy(*by).agg(F.collect_list("one").alias("one"), F.collect_list("two").alias("two"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
@@ -173,6 +181,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     column.append(x)
             yield _batch("id n_words n_removed sha z", [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()], out)
 
-    changed = keyed.select("id", "key", "z", "runs").join(first, "key", "left").select("id", "z", "runs", "one", "two").mapInArrow(removed, "id long, n_words long, n_removed long, sha string, z binary")
+    changed = keyed.select("id", *by, "z", "runs").join(first, by, "left").select("id", "z", "runs", "one", "two").mapInArrow(removed, "id long, n_words long, n_removed long, sha string, z binary")
     same = prepared.where("runs IS NULL").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", "z")
     return same.unionByName(changed).select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("sha").alias("kept_sha256"), F.col("z").alias("kept_text"))

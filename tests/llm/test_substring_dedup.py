@@ -61,3 +61,12 @@ def test_chain_across_documents(make_docs, words):
 def test_empty(make_docs):
     check(make_docs, [])
     check(make_docs, [(1, None)])
+
+
+def test_ids_of_several_texts(make_docs, words, monkeypatch):
+    plans, write = [], substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, label: plans.append(df._jdf.queryExecution().analyzed().toString()) or write(df, label))
+    passage, other = words(1, 50, 5000), words(2, 40, 5000)
+    docs = [(None if i % 2 else 7, " ".join(words(10 + i, 60, 5000) + (passage if i % 3 else other) + words(50 + i, 30, 5000))) for i in range(20)]
+    check(make_docs, docs + docs[:3] + [(8, docs[2][1]), (9, " ".join(other)), (6, " ".join(passage))])
+    assert re.search(r"Aggregate \[key#\d+L?, hash#\d+L?\], \[.*collect_list\(mark", "".join(plans))  # a list for each text, not for each id
