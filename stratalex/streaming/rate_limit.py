@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -26,21 +27,28 @@ def limit_batch(requests: DataFrame, chat_limit: int = CHAT_LIMIT, api_limit: in
     """request_id, key, window_start, n_in_window, allowed, by a fold over each key's times.
 
     Columns: request_id, ip, path, ms (milliseconds).  Rejected requests count too.  The
-    requests of one key are narrow pairs of numbers.
+    requests of a key are read in order and leave as they come; only start and count of its
+    window are held.
     """
-    keyed = with_key(requests).groupBy("key", "tier").agg(F.array_sort(F.collect_list(F.struct("ms", "request_id"))).alias("r"))
-    entry = "struct<start:bigint,n:bigint,out:array<struct<request_id:bigint,start:bigint,n:bigint>>>"
-    first = F.lit(None).cast(entry)
-    first = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<struct<request_id:bigint,start:bigint,n:bigint>>").alias("out"))
-
-    def step(a, x):
-        opens = a["start"].isNull() | (a["start"] < x["ms"] - window_ms)
-        start, n = F.when(opens, x["ms"]).otherwise(a["start"]), F.when(opens, F.lit(1).cast("bigint")).otherwise(a["n"] + 1)
-        return F.struct(start.alias("start"), n.alias("n"), F.concat(a["out"], F.array(F.struct(x["request_id"].alias("request_id"), start.alias("start"), n.alias("n")))).alias("out"))
-
-    folded = keyed.select("key", "tier", F.explode(F.aggregate("r", first, step, lambda a: a["out"])).alias("o"))
-    limit = F.when(F.col("tier") == "chat", chat_limit).otherwise(api_limit)
-    return folded.select("o.request_id", "key", F.col("o.start").alias("window_start"), F.col("o.n").alias("n_in_window"), (F.col("o.n") <= limit).alias("allowed"))
+    limits = {"chat": chat_limit, "api": api_limit}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, n = None, None, 0
+        for b in batches:
+            starts, counts, allowed = [], [], []
+            for key, tier, ms in zip(*(b.column(c).to_pylist() for c in ("key", "tier", "ms")), strict=True):
+                if key != last:
+                    last, start, n = key, None, 0
+                start, n = (ms, 1) if start is None or start < ms - window_ms else (start, n + 1)
+                starts.append(start)
+                counts.append(n)
+                allowed.append(n <= limits[tier])
+            columns = [b.column("request_id"), b.column("key"), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(allowed, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["request_id", "key", "window_start", "n_in_window", "allowed"])
+
+    keyed = with_key(requests).select("key", "tier", F.col("ms").cast("long").alias("ms"), F.col("request_id").cast("long").alias("request_id"))
+    ordered = keyed.repartition("key").sortWithinPartitions("key", "ms", "request_id")
+    return ordered.mapInArrow(count, "request_id long, key string, window_start long, n_in_window long, allowed boolean")
 
 
 def limit_stream(requests: DataFrame, chat_limit: int = CHAT_LIMIT, api_limit: int = API_LIMIT) -> DataFrame:

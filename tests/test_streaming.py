@@ -57,3 +57,15 @@ def test_ingest_and_distinct(spark, tmp_path):
     once = events.distinct_stream(stream, "content").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     once.awaitTermination()
     assert spark.table("once").count() == 2
+
+
+def test_rate_limit_of_a_hot_key(spark):
+    n = 30_000
+    rows = [(i, "a", "/api/x", (i * 7919) % n * 10) for i in range(n)]
+    limited = rate_limit.limit_batch(spark.createDataFrame(rows, REQUEST), window_ms=5000)
+    assert "collect_list" not in limited._jdf.queryExecution().toString()
+    want, start, count = {}, None, 0
+    for i, _, _, ms in sorted(rows, key=lambda r: (r[3], r[0])):
+        start, count = (ms, 1) if start is None or start < ms - 5000 else (start, count + 1)
+        want[i] = (start, count, count <= rate_limit.API_LIMIT)
+    assert {r.request_id: (r.window_start, r.n_in_window, r.allowed) for r in limited.collect()} == want
