@@ -76,18 +76,20 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\n{4,}", "\n\n\n"), "[ \t]+", " ")
 
 
-def clean_page(raw: Column, watermark: str = "ISBN|版权所有|翻印必究|www\\.|http") -> Column:
+def clean_page(raw: Column, watermark: str = "ISBN|版权所有|翻印|侵权必究") -> Column:
     """Lines of a printed page without blank ones, page numbers, headers, footers, marks.
 
     A header is a short line among the first 8 % of lines without a full stop, a footer one
-    among the last 8 %; lines that end a chapter name, or a numbered answer, stay.
+    among the last 8 %; chapter names (第 ... 章 or 节) and numbered answers stay.  Line ends
+    at the end of the page are no lines.  Null is an empty page.
     """
-    lines = F.transform(F.split(raw, "\n"), lambda x: F.trim(x))
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), "\n+$", "")
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
     n = F.size(lines)
 
     def keep(x: Column, i: Column) -> Column:
-        header = (i < n * 0.08) & (F.length(x) < 30) & ~F.contains(x, F.lit(".")) & ~F.rlike(x, F.lit("[章节]$"))
-        footer = (i > n * 0.92) & (F.length(x) < 30) & ~F.rlike(x, F.lit(r"\d+.*[解证明答]$"))
+        header = (i < n * 0.08) & (F.length(x) < 30) & ~F.contains(x, F.lit(".")) & ~F.rlike(x, F.lit("第.*[章节]$"))
+        footer = (i > n * 0.92) & (F.length(x) < 30) & ~F.rlike(x, F.lit(r"\d.*[解证明答]$"))
         return (x != "") & ~F.rlike(x, F.lit(r"^\d{1,4}$")) & ~header & ~footer & ~F.rlike(x, F.lit(watermark))
 
     joined = F.array_join(F.filter(lines, keep), "\n")

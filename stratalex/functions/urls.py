@@ -29,11 +29,16 @@ def normalise(url: Column) -> Column:
 
 
 def source_name(url: Column) -> Column:
-    """Host and last part of the path, without its extension, as a name."""
-    last = F.element_at(F.split(path(url), "/"), -1)
-    stem = F.regexp_replace(last, r"\.[^.]*$", "")
-    named = F.substring(F.regexp_replace(F.concat(host(url), F.lit("_"), stem), r"[^A-Za-z0-9_一-龥]", "_"), 1, 80)
-    return F.when(stem == "", F.concat(host(url), F.lit("_index"))).otherwise(named)
+    """Host and last part of the path, without its extension, as a name of at most 80 characters.
+
+    A slash at the end doesn't count, a dot at the start of the part is no extension's, and
+    a path of slashes alone has no name of its own.
+    """
+    of = F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    last = F.substring_index(F.regexp_replace(path(url), "/+$", ""), "/", -1)
+    stem = F.regexp_replace(last, r"^(.+)\.[^.]*$", "$1")
+    named = F.regexp_replace(F.substring(F.concat(of, F.lit("_"), stem), 1, 80), r"[^A-Za-z0-9_\-\u4e00-\u9fff]", "_")
+    return F.when(path(url).isin("", "/"), F.concat(of, F.lit("_index"))).when(last == "", "crawled_page").otherwise(named)
 
 
 def in_domains(url: Column, domains: Sequence[str]) -> Column:

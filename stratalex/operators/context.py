@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalex.operators.order import with_sum_before
+from stratalex.sources.scratch import written
+
 DAMPING = 0.9
 
 
@@ -23,6 +26,22 @@ def neighbours(chunks: DataFrame, anchors: DataFrame, before: int = 1, after: in
     return around.select("anchor_id", "chunk_id", F.when(F.col("place") < F.col("at"), "before").otherwise("after").alias("side"), (F.col("place") - F.col("at")).alias("distance"))
 
 
+def all_neighbours(chunks: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
+    """anchor_id, chunk_id, side, distance for every chunk, by places and equal joins.
+
+    The same neighbours that :func:`neighbours` finds for a few anchors.
+    """
+    placed = written(with_sum_before(chunks.select("source_file", "chunk_id", "start_char"), "source_file", ["start_char", "chunk_id"], F.lit(1), "place"), "places")
+    first = placed.groupBy("source_file", "start_char").agg(F.min("place").alias("at"))
+    steps = F.array(*[F.lit(d) for d in (*range(-before, 0), *range(1, after + 1))])
+    anchors = placed.join(first, ["source_file", "start_char"]).select(F.col("chunk_id").alias("anchor_id"), "source_file", "at", F.explode(steps).alias("distance"))
+    return (
+        anchors.withColumn("place", F.col("at") + F.col("distance"))
+        .join(placed.select("source_file", "chunk_id", "place"), ["source_file", "place"])
+        .select("anchor_id", "chunk_id", F.when(F.col("distance") < 0, "before").otherwise("after").alias("side"), "distance")
+    )
+
+
 def expand(results: DataFrame, around: DataFrame, k: int) -> DataFrame:
     """Results with their neighbours: first seen stays, max(k, 4) + 4 rows at most.
 

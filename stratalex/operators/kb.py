@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalex.functions import text as T
+from stratalex.operators.order import with_sum_before
 
 
 def keep_first(rows: DataFrame, content: str, order: str) -> DataFrame:
@@ -102,6 +103,17 @@ def scanned_files(pages: DataFrame, first: int = 3, least: int = 20) -> DataFram
 
 
 def full_text(pages: DataFrame) -> DataFrame:
-    """The pages of each file in order, a blank line after each."""
-    packed = pages.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("page_num", "content"))).alias("p"))  # the pages of one file
-    return packed.select("file_name", F.concat(F.array_join(F.transform("p", lambda x: x["content"]), "\n\n"), F.lit("\n\n")).alias("full_text"))
+    """The parts of each file's whole text: file_name, page_num, start_char, n_chars, part.
+
+    A part is a page and the blank line after it; in order of pages they are the text.  A
+    file of any length stays in rows of one page, as ``start_char`` tells each one's place.
+    """
+    part = F.concat(F.coalesce("content", F.lit("")), F.lit("\n\n"))
+    parts = pages.select("file_name", "page_num", part.alias("part"), F.length(part).cast("long").alias("n_chars"))
+    return with_sum_before(parts, "file_name", ["page_num"], F.col("n_chars"), "start_char")
+
+
+def write_full_text(pages: DataFrame, path: str) -> None:
+    """Writes the parts, a folder for each file, in order of pages inside and between files' parts."""
+    parts = full_text(pages).repartitionByRange("file_name", "start_char").sortWithinPartitions("file_name", "start_char")
+    parts.write.partitionBy("file_name").parquet(path)

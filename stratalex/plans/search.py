@@ -80,9 +80,9 @@ def _lists(spark, sf):
     return retrieval.ranked(text.select(F.col("chunk_id").alias("id"), "bm25"), "bm25", "id"), retrieval.ranked(near, "cos", "id")
 
 
-@query("rrf_hybrid", _FUSED + " SELECT id, round(rrf, 6) AS rrf FROM f")
+@query("rrf_hybrid", _FUSED + " SELECT id, round(rrf, 9) AS rrf FROM f")
 def rrf_hybrid(spark, sf):
-    return retrieval.fuse(*_lists(spark, sf)).select("id", F.round("rrf", 6).alias("rrf"))
+    return retrieval.fuse(*_lists(spark, sf)).select("id", F.round("rrf", 9).alias("rrf"))
 
 
 _TOP = _FUSED + """, top AS (SELECT id, rrf, row_number() OVER (ORDER BY rrf DESC, seen) AS position FROM f ORDER BY rrf DESC, seen LIMIT 5),
@@ -96,14 +96,14 @@ def _search(spark, sf):
     return retrieval.search(chunks(spark, sf), table(spark, sf, "embeddings"), TERMS, QUERY, "senior")
 
 
-@query("rrf_weighted", _TOP + " SELECT chunk_id, round(score, 6) AS score FROM res ORDER BY res.score DESC")
+@query("rrf_weighted", _TOP + " SELECT chunk_id, round(score, 9) AS score FROM res ORDER BY res.score DESC")
 def rrf_weighted(spark, sf):
-    return _search(spark, sf).orderBy(F.desc("score")).select("chunk_id", F.round("score", 6).alias("score"))
+    return _search(spark, sf).orderBy(F.desc("score")).select("chunk_id", F.round("score", 9).alias("score"))
 
 
-@query("search_flagship", _TOP + " SELECT position, chunk_id, source_file, grade, chapter_title, round(score, 6) AS score, snippet FROM res")
+@query("search_flagship", _TOP + " SELECT position, chunk_id, source_file, grade, chapter_title, round(score, 9) AS score, snippet FROM res")
 def search_flagship(spark, sf):
-    return _search(spark, sf).withColumn("score", F.round("score", 6))
+    return _search(spark, sf).withColumn("score", F.round("score", 9))
 
 
 _AROUND = """, placed AS (SELECT source_file, chunk_id, start_char, row_number() OVER (PARTITION BY source_file ORDER BY start_char, chunk_id) AS place FROM chunks),
@@ -112,10 +112,12 @@ around AS (SELECT anchor_id, p.chunk_id, CASE WHEN place < at_place THEN 'before
   FROM at_ a JOIN placed p ON p.source_file = a.source_file AND place <> at_place AND place BETWEEN at_place - 1 AND at_place + 1)"""
 
 
-@query("adjacent_chunks", W + ", anchors AS (SELECT * FROM chunks WHERE chunk_id % 97 = 5)" + _AROUND.format("anchors") + " SELECT * FROM around")
+@query("adjacent_chunks", W + """, placed AS (SELECT source_file, chunk_id, start_char, row_number() OVER (PARTITION BY source_file ORDER BY start_char, chunk_id) AS place FROM chunks),
+at_ AS (SELECT chunk_id AS anchor_id, source_file, min(place) OVER (PARTITION BY source_file, start_char) AS at_place FROM placed)
+SELECT anchor_id, p.chunk_id, CASE WHEN place < at_place THEN 'before' ELSE 'after' END AS side, CAST(place - at_place AS INTEGER) AS distance
+FROM at_ a JOIN placed p ON p.source_file = a.source_file AND (place = at_place - 1 OR place = at_place + 1)""")
 def adjacent_chunks(spark, sf):
-    c = chunks(spark, sf)
-    return context.neighbours(c, c.where("chunk_id % 97 = 5").select(F.col("chunk_id").alias("anchor_id"), "source_file", "start_char"))
+    return context.all_neighbours(chunks(spark, sf))
 
 
 _EXPAND = _TOP + _AROUND.format("res") + """, u AS (
@@ -131,9 +133,9 @@ def _expanded(spark, sf):
     return context.expand(found, context.neighbours(c, anchors), 5)
 
 
-@query("expand_context", _EXPAND + " SELECT chunk_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY a) AS INTEGER) AS position FROM e")
+@query("expand_context", _EXPAND + " SELECT chunk_id, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY a) AS INTEGER) AS position FROM e")
 def expand_context(spark, sf):
-    return _expanded(spark, sf).select("chunk_id", F.round("score", 6).alias("score"), "position")
+    return _expanded(spark, sf).select("chunk_id", F.round("score", 9).alias("score"), "position")
 
 
 @query("prompt_context", _EXPAND + ", o AS (SELECT *, row_number() OVER (ORDER BY a) AS p FROM e) SELECT string_agg('[' || p || '] ' || source_file || ' (' || CAST(round(score * 100) AS INTEGER) || '%)' || chr(10) || content, chr(10) || chr(10) ORDER BY p) AS context, count(*) AS n FROM o JOIN chunks USING (chunk_id)")

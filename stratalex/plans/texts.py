@@ -120,11 +120,12 @@ def whitespace_normalise(spark, sf):
 
 
 _LINES = r"""
-, l AS (SELECT chunk_id, i, len(a) AS n, trim(a[i]) AS x FROM (SELECT chunk_id, string_split(content, chr(10)) AS a, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM chunks)),
+, l AS (SELECT chunk_id, i, len(a) AS n, regexp_replace(a[i], '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS x
+  FROM (SELECT chunk_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT chunk_id, string_split(regexp_replace(coalesce(content, ''), '\n+$', ''), chr(10)) AS a FROM chunks))),
 k AS (SELECT * FROM l WHERE x <> '' AND NOT regexp_matches(x, '^\d{1,4}$')
-  AND NOT (i - 1 < n * 0.08 AND length(x) < 30 AND NOT contains(x, '.') AND NOT regexp_matches(x, '[章节]$'))
-  AND NOT (i - 1 > n * 0.92 AND length(x) < 30 AND NOT regexp_matches(x, '\d+.*[解证明答]$'))
-  AND NOT regexp_matches(x, 'ISBN|版权所有|翻印必究|www\.|http'))
+  AND NOT (i - 1 < n * 0.08 AND length(x) < 30 AND NOT contains(x, '.') AND NOT regexp_matches(x, '第.*[章节]$'))
+  AND NOT (i - 1 > n * 0.92 AND length(x) < 30 AND NOT regexp_matches(x, '\d.*[解证明答]$'))
+  AND NOT regexp_matches(x, 'ISBN|版权所有|翻印|侵权必究'))
 SELECT c.chunk_id, coalesce(string_agg(k.x, chr(10) ORDER BY k.i), '') AS t FROM chunks c LEFT JOIN k ON k.chunk_id = c.chunk_id GROUP BY c.chunk_id"""
 
 
@@ -145,9 +146,11 @@ def scan_detect(spark, sf):
     return kb.scanned_files(pages, 3, 200)
 
 
-@query("full_text_join", "SELECT source AS file_name, sha256(string_agg(text, chr(10) || chr(10) ORDER BY doc_id) || chr(10) || chr(10)) AS text_hash FROM documents GROUP BY source")
+@query("full_text_join", """SELECT file_name, page_num, CAST(coalesce(sum(length(content) + 2) OVER (PARTITION BY file_name ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char,
+CAST(length(content) + 2 AS BIGINT) AS n_chars, sha256(content || chr(10) || chr(10)) AS text_hash
+FROM (SELECT source AS file_name, CAST(doc_id AS INTEGER) AS page_num, coalesce(text, '') AS content FROM documents)""")
 def full_text_join(spark, sf):
-    return kb.full_text(_pages(spark, sf)).select("file_name", F.sha2("full_text", 256).alias("text_hash"))
+    return kb.full_text(_pages(spark, sf)).select("file_name", "page_num", "start_char", "n_chars", F.sha2("part", 256).alias("text_hash"))
 
 
 def _chunked(spark, sf):

@@ -39,8 +39,9 @@ def url_normalize(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.normalise(F.col("url")).alias("url_normal"))
 
 
-@query("url_source_name", rf"""SELECT page_id, CASE WHEN stem = '' THEN h || '_index' ELSE substr(regexp_replace(h || '_' || stem, '[^A-Za-z0-9_一-龥]', '_', 'g'), 1, 80) END AS name
-FROM (SELECT page_id, {_HOST} AS h, regexp_replace(string_split({_PATH}, '/')[-1], '\.[^.]*$', '') AS stem FROM pages)""")
+@query("url_source_name", rf"""SELECT page_id, CASE WHEN p IN ('', '/') THEN h || '_index' WHEN last = '' THEN 'crawled_page'
+  ELSE regexp_replace(substr(h || '_' || CASE WHEN strpos(substr(last, 2), '.') > 0 THEN array_to_string(string_split(last, '.')[:-2], '.') ELSE last END, 1, 80), '[^A-Za-z0-9_\-\x{{4e00}}-\x{{9fff}}]', '_', 'g') END AS name
+FROM (SELECT *, string_split(rtrim(p, '/'), '/')[-1] AS last FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS h, {_PATH} AS p FROM pages))""")
 def url_source_name(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.source_name(F.col("url")).alias("name"))
 
