@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalex.sources.scratch import Scratch, scratch_path, written  # noqa: F401  the operators' way to shared tables
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -16,33 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests in one JVM) a temporary one is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="stratalex-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage.
-
-    The files outlive a lost executor, so nothing above is computed again.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -54,69 +26,81 @@ def row_key(id_col: str, text: Column) -> Column:
 
 # -- hashing of words in whole batches, on the UTF-8 bytes -------------------------------
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_P, _Q = 0x100000001B3, 0xD6E8FEB86659FD93
+_U = np.uint64
+_MULT, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
+_SHIFTS = _U(30), _U(27), _U(31), _U(32), _U(29)
+#: Keeps the first k of eight bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+
+#: Tables for ``bytes.translate`` that turn what separates words into spaces.
+SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+LOWER_ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * _M1
-    x = x ^ (x >> np.uint64(27))
-    x = x * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse, self.up, self.down = base, pow(base, -1, 1 << 64), None, None
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.up is None or len(self.up) < n:
-            size = max(1 << 16, 1 << int(n - 1).bit_length())
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                a = np.full(size, b, np.uint64)
-                a[0] = 1
-                setattr(self, name, np.cumprod(a, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = _Powers(_P), _Powers(_Q)
-
-#: Byte classes for :func:`hash_words`: value of a byte in a word, 0 where words end.
-NOT_SPACE = np.array([0 if b == 32 or 9 <= b <= 13 else b + 1 for b in range(256)], np.uint64)
-LOWER_ALNUM = np.array(
-    [0 if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) else (b + 32 if 65 <= b <= 90 else b) + 1 for b in range(256)],
-    np.uint64,
-)
-
-
-def hash_words(text: bytes, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends (byte offsets) of the words of ``text``."""
-    raw = np.frombuffer(text, np.uint8)
-    v = values[raw]
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = v != 0
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    x = x ^ (x >> _SHIFTS[0])
+    x *= _M1
+    x ^= x >> _SHIFTS[1]
+    x *= _M2
+    x ^= x >> _SHIFTS[2]
+    return x
+
+
+def hash_words(text: bytes, seeds: tuple[np.uint64, ...] = (_MULT,)) -> list[np.ndarray]:
+    """For each seed the hashes of the words of ``text``, which spaces separate.
+
+    Every eight bytes of a word go through a bijection that depends on the seed and, from
+    the second eight on, on their place; so words of up to eight bytes never meet, and the
+    hashes of two seeds are independent.
+    """
+    raw = np.frombuffer(text + b"        ", np.uint8)
+    inside = np.zeros(len(raw) + 1, bool)
+    np.not_equal(raw, 32, out=inside[1:])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends
-    up, down = _BYTES.get(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(v * up[: len(raw)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * _MULT), starts, ends
+        return [np.zeros(0, _U) for _ in seeds]
+    size = ends - starts
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))  # the eight bytes from every place
+    first = eight[starts] & _FIRST[np.minimum(size, 8)]
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        begin = np.cumsum(more) - more
+        nth = np.arange(more.sum()) - np.repeat(begin, more) + 1
+        at = np.repeat(starts[long], more) + 8 * nth
+        rest = eight[at] & _FIRST[np.minimum(np.repeat(ends[long], more) - at, 8)]
+        place = nth.astype(_U) * _MULT
+    out = []
+    for seed in seeds:
+        h = mix64(first ^ seed)
+        if len(long):
+            h[long] += np.add.reduceat(mix64((rest ^ seed) + place), begin)
+        out.append(mix64(h + size.astype(_U) * seed))
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _MULT
+    x += b
+    x ^= x >> _SHIFTS[3]
+    x *= _M1
+    x ^= x >> _SHIFTS[4]
+    return x
 
 
 def hash_windows(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of ``k`` consecutive word hashes."""
-    n = len(words)
-    if n < k:
-        return np.zeros(0, np.uint64)
-    up, down = _WORDS.get(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * up[:n], out=sums[1:])
-    return mix64((sums[k:] - sums[:-k]) * down[: n - k + 1] + np.uint64(k))
+    """Hash of every run of ``k`` consecutive values, put together from runs of 1, 2, 4, ..."""
+    places = len(words) - k + 1
+    if places < 1:
+        return words[:0]
+    out, of, have, size = None, 0, words, 1
+    while True:
+        if k & size:
+            out = have[:places] if out is None else _joined(out, have[of : of + places])
+            of += size
+            if of == k:
+                return out
+        have = _joined(have[:-size], have[size:])
+        size *= 2
