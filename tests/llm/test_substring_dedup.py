@@ -30,13 +30,13 @@ def brute(docs, k=20):
         yield i, len(w), len(gone), kept
 
 
-def check(make_docs, docs):
+def check(make_docs, docs, window=20):
     got = Counter()
-    for r in substring_dedup.remove_repeats(make_docs(docs)).collect():
+    for r in substring_dedup.remove_repeats(make_docs(docs), window=window).collect():
         if r.n_removed:
             assert hashlib.sha256(zstandard.ZstdDecompressor().decompress(bytes(r.kept_text)) if r.kept_sha256 != hashlib.sha256(b"").hexdigest() else b"").hexdigest() == r.kept_sha256
         got[(r.doc_id, r.n_words, r.n_removed, r.kept_sha256)] += 1
-    assert got == Counter((i, n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in brute(docs))
+    assert got == Counter((i, n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in brute(docs, window))
 
 
 def test_brute_force(make_docs, words):
@@ -70,3 +70,21 @@ def test_ids_of_several_texts(make_docs, words, monkeypatch):
     docs = [(None if i % 2 else 7, " ".join(words(10 + i, 60, 5000) + (passage if i % 3 else other) + words(50 + i, 30, 5000))) for i in range(20)]
     check(make_docs, docs + docs[:3] + [(8, docs[2][1]), (9, " ".join(other)), (6, " ".join(passage))])
     assert re.search(r"Aggregate \[key#\d+L?, hash#\d+L?\], \[.*collect_list\(mark", "".join(plans))  # a list for each text, not for each id
+
+
+def test_levels(make_docs, words):
+    assert [substring_dedup.lengths(w) for w in (20, 40, 50, 80, 12)] == [[10, 20], [10, 20, 40], [13, 25, 50], [10, 20, 40, 80], [12]]
+    shared = [words(n, 35 + 9 * n, 5000) for n in range(4)]
+    docs = [(n, " ".join(words(100 + n, 30, 5000) + shared[n % 4] + words(200 + n, 30, 5000))) for n in range(20)]
+    for window in (12, 40, 50):
+        check(make_docs, docs, window)
+
+
+def test_words_that_polynomials_confuse(make_docs):
+    """Two words of 1024 letters whose polynomial hashes modulo 2**64 are equal for any odd base."""
+    one, two = "a", "b"
+    for _ in range(10):
+        one, two = one + two, two + one
+    rest = " ".join(f"w{i}" for i in range(19))
+    check(make_docs, [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{rest} {one}"), (4, f"{rest} {two}")])
+    check(make_docs, [(1, " ".join(one)), (2, " ".join(two))])
