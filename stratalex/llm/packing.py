@@ -2,8 +2,9 @@
 
 Texts are encoded once, where they are read; from there on only narrow piece rows move.
 The pieces are dealt at random over groups of a bounded size, and each group is packed in
-one task: best fit of descending lengths, then swaps between underfull bins.  A group
-leaves at most a bin or two partly filled, so groups cost next to nothing in sequences.
+one task: best fit in the order of arrival, then a local search by swaps, which empties the
+bins that this leaves over.  A group leaves a bin or two partly filled, so groups cost next
+to nothing in sequences.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,8 @@ from stratalex.llm.tokens import encoder
 #: Tokens of a sequence, and pieces packed in one task on average.
 CAPACITY = 2048
 GROUP_PIECES = 20_000
-#: Rounds over the underfull bins; each ends early when no exchange is left.
-ROUNDS = 8
+#: Room below which bins are looked up one by one rather than by the mask of the rest.
+NARROW = 16
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,100 +59,146 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAP
     return texts.mapInArrow(cut, schema)
 
 
-class _Bins:
-    """Bins of one group: their items, and for each rest of room the bins that have it."""
+class Bins:
+    """Bins of one group, filled in the order of arrival and then improved by exchanges.
+
+    The search takes the emptiest bins one after another and hands their items to fuller
+    ones: an item moves into a bin, or one or two items change places with one of a bin, or
+    one with two.  Every exchange makes the fuller bin fuller, so squared fill grows.  Where
+    none does, an item may change places with two of a full bin that are as long together,
+    as smaller items find places more easily.  A bin that can't be emptied is set aside, and
+    the search ends when no bin was emptied in a whole round or all room together is less
+    than a bin's.
+
+    What can be taken from a bin (nothing, an item or two) is indexed by what it leaves room
+    for, so that a give finds an exact partner, or else the next larger place, at once.
+    """
 
     def __init__(self, capacity: int) -> None:
-        self.capacity, self.items, self.room = capacity, [], []
-        self.by_room = [set() for _ in range(capacity + 1)]
-        self.mask = 0  # bit r: some bin has room r
+        self.capacity, self.items, self.room, self.exchanges = capacity, [], [], 0
+        sets = lambda: [set() for _ in range(capacity + 1)]
+        self.narrow, self.wide, self.full = sets(), sets(), sets()
+        self.mask = 0  # bit k: a bin with wide room has a take that leaves room for k
+
+    @property
+    def used(self) -> int:
+        return sum(1 for x in self.items if x)
+
+    def fill(self, lengths: list[int]) -> None:
+        """Best fit in the order given."""
+        free, mask = [[] for _ in range(self.capacity + 1)], 0
+        for i, n in enumerate(lengths):
+            if fits := mask >> n:
+                r = n + (fits & -fits).bit_length() - 1
+                b = free[r].pop()
+                if not free[r]:
+                    mask &= ~(1 << r)
+            else:
+                r, b = self.capacity, len(self.items)
+                self.items.append([])
+                self.room.append(r)
+            self.items[b].append((n, i))
+            self.room[b] = r = r - n
+            free[r].append(b)
+            mask |= 1 << r
+
+    def _takes(self, b: int) -> Iterator[tuple[int, tuple[int, tuple]]]:
+        room, own = self.room[b], self.items[b]
+        if room:
+            yield room, (b, ())
+            for y in own:
+                yield room + y[0], (b, (y,))
+        for two in combinations(own, 2):
+            yield room + two[0][0] + two[1][0], (b, two)
 
     def _file(self, b: int) -> None:
-        r = self.room[b]
-        self.by_room[r].add(b)
-        self.mask |= 1 << r
+        if (room := self.room[b]) >= NARROW:
+            for k, take in self._takes(b):
+                self.wide[k].add(take)
+                self.mask |= 1 << k
+        else:
+            index = self.narrow if room else self.full
+            for k, take in self._takes(b):
+                index[k].add(take)
 
     def _unfile(self, b: int) -> None:
-        r = self.room[b]
-        self.by_room[r].discard(b)
-        if not self.by_room[r]:
-            self.mask &= ~(1 << r)
-
-    def best(self, need: int) -> int | None:
-        """The bin with the least room that is enough."""
-        fits = self.mask >> need
-        if not fits:
-            return None
-        return min(self.by_room[need + (fits & -fits).bit_length() - 1])
-
-    def add(self, length: int, item: int) -> None:
-        b = self.best(length)
-        if b is None:
-            b = len(self.items)
-            self.items.append([])
-            self.room.append(self.capacity)
+        if (room := self.room[b]) >= NARROW:
+            for k, take in self._takes(b):
+                self.wide[k].discard(take)
+                if not self.wide[k]:
+                    self.mask &= ~(1 << k)
         else:
-            self._unfile(b)
-        self.items[b].append((length, item))
-        self.room[b] -= length
-        self._file(b)
-
-    def change(self, b: int, out: list, into: list) -> None:
-        self._unfile(b)
-        for x in out:
-            self.items[b].remove(x)
-        self.items[b].extend(into)
-        self.room[b] += sum(x[0] for x in out) - sum(x[0] for x in into)
-        if self.items[b]:
-            self._file(b)
+            index = self.narrow if room else self.full
+            for k, take in self._takes(b):
+                index[k].discard(take)
 
-    def exchange(self, a: int, b: int) -> bool:
-        """One exchange that makes the fuller bin ``b`` fuller and ``a`` emptier.
+    def _exchange(self, a: int) -> tuple[tuple, tuple[int, tuple]] | None:
+        """What bin ``a`` gives, and the bin and its items that it gets for it.
 
-        Squared fill grows by it as ``b`` is at least as full as ``a``.  Of all moves,
-        one-for-one and two-for-one exchanges the one that fills ``b`` most is made.
+        The other bin keeps as little room as possible, and of such the one that gains most.
         """
-        room, best, pick = self.room[b], 0, None
-        mine, yours = sorted(self.items[a], reverse=True), sorted(self.items[b])
-        for x in mine:  # a move
-            if best < x[0] <= room:
-                best, pick = x[0], ([x], [])
-        lengths = [y[0] for y in yours]
-        for i, x in enumerate(mine):
-            for give in [[x], *([x, z] for z in mine[i + 1 :])] if len(mine) <= 48 else [[x]]:
-                total = sum(g[0] for g in give)
-                at = int(np.searchsorted(lengths, total - room))  # the smallest that makes room
-                if at < len(yours) and best < (gain := total - yours[at][0]) <= room:
-                    best, pick = gain, (give, [yours[at]])
-        if pick is None:
-            return False
-        self.change(a, pick[0], pick[1])
-        self.change(b, pick[1], pick[0])
-        return True
-
-    def improve(self, rounds: int = ROUNDS) -> None:
-        """Empties the emptiest bins into the others for as long as squared fill grows."""
-        for _ in range(rounds):
-            under = sorted((b for b in range(len(self.items)) if self.items[b] and self.room[b]), key=lambda b: -self.room[b])
-            if len(under) < 2 or sum(self.room[b] for b in under) < self.capacity:
-                return  # not even all room together would free a bin
-            changed = False
-            for b in under[1:]:
-                a = under[0]
-                if not self.items[a]:
-                    changed = True
+        mine, room, cap = self.items[a], self.room, self.capacity
+        gives = [((x,), x[0]) for x in mine] + [(two, n) for two in combinations(mine, 2) if (n := two[0][0] + two[1][0]) <= cap]
+        gain, best, most = 0, None, room[a]  # room left beyond that would make squared fill shrink
+        for d in range(min(NARROW, most)):
+            for give, n in gives:
+                if n + d <= cap:
+                    for index in (self.narrow, self.wide):
+                        for take in index[n + d]:
+                            if (more := room[take[0]] - d) > gain and len(give) + len(take[1]) < 4:
+                                gain, best = more, (give, take)
+            if best:
+                return best
+        for give, n in gives:
+            d, mask = NARROW - 1, self.mask >> (n + NARROW)
+            while mask:
+                step = (mask & -mask).bit_length()
+                d, mask = d + step, mask >> step
+                if d >= most:
                     break
-                while self.items[a] and self.room[b] and self.exchange(a, b):
-                    changed = True
-            if not changed:
-                return
+                for take in self.wide[n + d]:
+                    if (more := room[take[0]] - d) > 0 and len(give) + len(take[1]) < 4 and (d < most or more > gain):
+                        gain, best, most = more, (give, take), d
+        if best is None:
+            best = next((((x,), take) for x in mine for take in self.full[x[0]]), None)
+        return best
+
+    def improve(self) -> None:
+        for b in range(len(self.items)):
+            self._file(b)
+        spare, emptied = sum(self.room), True
+        while emptied:
+            emptied = False
+            for a in sorted((b for b in range(len(self.items)) if self.items[b] and self.room[b]), key=lambda b: -self.room[b]):
+                if spare < self.capacity:
+                    return
+                if not self.room[a]:
+                    continue
+                self._unfile(a)
+                while self.items[a] and (found := self._exchange(a)):
+                    give, (b, back) = found
+                    self._unfile(b)
+                    for x in give:
+                        self.items[a].remove(x)
+                    for y in back:
+                        self.items[b].remove(y)
+                    self.items[a].extend(back)
+                    self.items[b].extend(give)
+                    moved = sum(x[0] for x in give) - sum(y[0] for y in back)
+                    self.room[a] += moved
+                    self.room[b] -= moved
+                    self.exchanges += 1
+                    self._file(b)
+                if self.items[a]:
+                    self._file(a)
+                else:
+                    spare, emptied = spare - self.capacity, True
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item; bins are numbered from 0 without gaps."""
-    bins = _Bins(capacity)
-    for i in np.argsort(-lengths, kind="stable"):
-        bins.add(int(lengths[i]), int(i))
+    bins = Bins(capacity)
+    bins.fill(lengths.tolist())
     bins.improve()
     bin_of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for n, items in enumerate(x for x in bins.items if x):
@@ -174,7 +222,7 @@ def best_fit(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPA
     groups = max(1, math.ceil(short.count() / GROUP_PIECES))
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "row"], ascending=[False, True], ignore_index=True)
+        rows = rows.sort_values("row", ignore_index=True)
         bin_of, offset = pack(rows["length"].to_numpy(), capacity)
         return rows.drop(columns=["row", "group"]).assign(sequence_id=rows["group"] * 2**32 + bin_of, offset=offset)
 

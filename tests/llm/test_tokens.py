@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,9 +17,7 @@ TEXTS = ["", "a", "Hello, world!  Two  spaces", "line\nline\n\n end \n", "don't
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path(NAME))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(NAME))
 
 
 def test_encoder_equals_library(tokenizer, words):
@@ -28,6 +27,17 @@ def test_encoder_equals_library(tokenizer, words):
     assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_on_random_texts(tokenizer, monkeypatch):
+    from stratalex.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)  # generations change all the time
+    own, rng = Encoder(NAME), random.Random(1)
+    parts = [*" \n\t ab,.'sé\r\u00a0\u3000日1٣<|!x-ʰ", "'s", "'ll", "<|endoftext|>", "  ", "\n\n", "word", " the", "\x1c", "\x85"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(5000)]
+    for text, b in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(b, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def rows(words):
     out = [(10 * i, t) for i, t in enumerate(TEXTS)]
     return out + [(5, None), (10, "a"), (10, "b"), (None, "none"), (None, None), (999, " ".join(words(1, 9000)))]
@@ -91,18 +101,55 @@ def test_packing(make_docs, words, tokenizer):
     assert len(bins) <= total / 2048 * 1.03 + 1
 
 
-def test_local_search_frees_bins():
-    bins = packing._Bins(10)
-    for items in ([6], [5, 4], [4, 4]):
-        bins.items.append([(x, 0) for x in items])
-        bins.room.append(10 - sum(items))
-        bins._file(len(bins.room) - 1)
-    before = sum((10 - r) ** 2 for r in bins.room)
+def fewest(lengths, capacity):
+    """The least number of bins, by trying everything."""
+    best = [len(lengths)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for r in sorted(set(rooms)):
+            if r >= lengths[k]:
+                at = rooms.index(r)
+                place(k + 1, rooms[:at] + [r - lengths[k]] + rooms[at + 1 :])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def searched(lengths, capacity):
+    bins = packing.Bins(capacity)
+    bins.fill(list(lengths))
+    start, fill = bins.used, sum((capacity - r) ** 2 for r in bins.room)
     bins.improve()
-    after = sum((10 - r) ** 2 for i, r in enumerate(bins.room) if bins.items[i])
-    assert after >= before
+    assert sorted(i for x in bins.items for _, i in x) == list(range(len(lengths)))
+    assert all(sum(n for n, _ in x) == capacity - r for x, r in zip(bins.items, bins.room, strict=True)) and min(bins.room, default=0) >= 0
+    assert sum((capacity - r) ** 2 for r in bins.room) >= fill
+    return start, bins.used, bins.exchanges
+
+
+def test_local_search_against_the_optimum():
+    rng, gap, emptied = random.Random(5), 0, 0
+    for _ in range(300):
+        lengths = [rng.randrange(2, 14) for _ in range(rng.randrange(1, 12))]
+        start, end, _ = searched(lengths, 20)
+        least = fewest(lengths, 20)
+        assert least <= end <= start
+        gap, emptied = gap + end - least, emptied + start - end
+    assert emptied > 10 and gap <= 3
+
+
+def test_local_search_empties_bins():
     rng = np.random.default_rng(1)
-    lengths = rng.integers(300, 1400, 3000)
-    bin_of, _ = packing.pack(lengths, 2048)
-    fill = np.bincount(bin_of, weights=lengths)
-    assert fill.max() <= 2048 and len(fill) <= 1.02 * lengths.sum() / 2048 + 1
+    for low, high in ((300, 1400), (600, 760), (1, 2048)):
+        lengths = rng.integers(low, high, 3000)
+        start, end, exchanges = searched(lengths.tolist(), 2048)
+        assert exchanges > 100 and end < start
+        if high < 2048:
+            assert end <= 1.01 * lengths.sum() / 2048 + 1
+    assert searched([6, 5, 4, 4, 1], 10)[1] == 2
+    assert searched([], 10) == (0, 0, 0)
