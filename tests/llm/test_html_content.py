@@ -66,3 +66,48 @@ def test_ratios_decide_in_an_article():
     for wrap in ("<article>{}</article>", "<div>{}</div>"):
         got = html_content.main_text(page(wrap.format(f"<h1>Title</h1>{body}<h2>Part</h2>{body}<ul>{''.join(f'<li>item {i}</li>' for i in range(9))}</ul>{tail}")))
         assert got.startswith("Title Sentence") and " Part Sentence" in got and got.endswith(" item 8")
+
+
+def test_names_of_boilerplate_are_whole():
+    lead = "The first paragraph has a sentence, and one more; it is long enough to be read. And so on, it goes."
+    for attrs in ('data-id="ad"', 'title="x class=ad"', 'class="legal-history"', 'class="related-work"', 'class="social"', "data-x='a>b' class=lead", 'class="with-sidebar-notes"', 'id="comment-on-the-law"', "class"):
+        got = html_content.main_text(page(f"<article><p {attrs}>{lead}</p><p>{lead}</p></article>"))
+        assert got == f"{lead} {lead}", attrs
+    for attrs in ('class="x ad"', "CLASS=Ad", "id='site-footer'", 'class="cookieNotice"', 'class="comment-list"', 'role="navigation"', "hidden", 'aria-hidden="true"', 'style="color:red; display: none"'):
+        got = html_content.main_text(page(f"<article><div {attrs}><p>{lead}</p></div><p>{lead}</p></article>"))
+        assert got == lead, attrs
+    math = "<p>Let <math><mi>x</mi></math> be one, and <svg><text>y</text></svg> two; so it is, and so on it goes.</p>"
+    assert html_content.main_text(page(f"<article>{math}</article>")) == "Let x be one, and y two; so it is, and so on it goes."
+
+
+def test_without_telling_names(monkeypatch):
+    """Pages of plain ``div`` whose names say nothing: the ratios alone choose."""
+    body = [f"Sentence number {i}, of the body. It goes on, and on; here. {'More, and more of it. ' * 8}".strip() for i in range(8)]
+    menu = "".join(f'<div class=q1><div class=q2><a href="/{i}">Entry {i}</a></div></div>' for i in range(25))
+    foot = "".join(f"<div class=q9><span>{w}</span></div>" for w in ("Imprint", "Contact", "Top", "2020 Name", "Help"))
+    source = page(f"<div class=q0>{menu}</div><div class=q3><h1>Title</h1>{''.join(f'<div class=q4>{b}</div>' for b in body)}</div><div class=q8>{foot}</div>")
+    assert html_content.main_text(source) == " ".join(["Title", *body])
+    monkeypatch.setattr(html_content, "THRESHOLD", -1e9)
+    assert "Entry 3" in html_content.main_text(source)  # without the ratios
+
+
+def test_any_depth_and_broken_markup():
+    import time
+
+    text = "A sentence, at the end. And one more, here."
+    n = 100_000
+    cases = {
+        "<div>" * n + text: text,
+        "".join(f"<div class=c{i}>" for i in range(n)) + text: text,
+        "<div>" * n + "</b>" * n + text: text,
+        "<b>" * (n // 4) + "<div></div>" * (n // 4) + text: text,
+        "<li><ul>" + "<blockquote>" * (n // 4) + "<li></li>" * (n // 4) + text: text,
+        f"<p>{text}" + '<a b="' * n + ">": text,
+        f"<p>{text}" + '<a "' * n: text,
+        f"<p>{text}" + "<!--" * n: text,
+        f"<p>{text}" + "<script>" * n: text,
+    }
+    began = time.process_time()
+    for source, want in cases.items():
+        assert html_content.main_text(source) == want, source[:40]
+    assert time.process_time() - began < 60
