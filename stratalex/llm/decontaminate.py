@@ -1,11 +1,12 @@
 """Benchmark decontamination by winnowing, with DataFrame functions only.
 
 Both sides hash every run of GRAM words and keep, in every SPAN consecutive hashes, the
-smallest.  A shared passage of WINDOW = GRAM + SPAN - 1 words has such a span, and in it
-both sides keep the same hash at the same place, so no shared window is missed.  A kept
-hash that joins gives a diagonal (document position less item position); the item's
-windows are then compared word by word along it, which extends the hit and drops chance
-matches.  Items of fewer words than a window are matched as one run of all their words.
+smallest: the mark of that window of WINDOW = GRAM + SPAN - 1 words.  A shared window has the
+same mark on both sides, so none is missed.  Marks that documents and items have in common
+are joined, each once for a document, however often its text repeats itself; the document's
+windows with such a mark are then compared with the items' windows, whole texts of windows
+and not hashes, which extends the hits and drops chance matches.  Items of fewer words than a
+window are one window of all their words, and its hash is its mark.
 """
 
 from __future__ import annotations
@@ -21,11 +22,9 @@ from stratalex.llm.common import lower_ascii, written
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 6
 SPAN = WINDOW - GRAM + 1
-#: Low bits of a fingerprint that hold its position; texts of more words are refused.
-POS_BITS = 26
-#: Benchmark fingerprints up to which they are broadcast (16 bytes each); beyond, a
-#: shuffle join takes their place.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of what the benchmark gives to a join, about, up to which it is broadcast; beyond, a
+#: shuffle join takes its place.
+MOST_BROADCAST = 1 << 24
 
 
 def words_of(text: Column) -> Column:
@@ -37,41 +36,47 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _gram(h: Column, i: Column, k: int) -> Column:
-    return F.xxhash64(F.lit(k), *[F.get(h, i + j) for j in range(k)]).bitwiseAND(F.lit(-(1 << POS_BITS)))
+def _grams(hashes: Column, k: int) -> Column:
+    """Hash of every run of ``k`` words."""
+    empty = F.array().cast("array<bigint>")
+    gram = lambda i: F.xxhash64(F.lit(k), *[F.get(hashes, i + j) for j in range(k)])
+    return F.when(F.size(hashes) >= k, F.transform(F.sequence(F.lit(0), F.size(hashes) - k), gram)).otherwise(empty)
 
 
-def _at(hash_: Column, i: Column) -> Column:
-    return hash_.bitwiseOR(i.cast("long"))
+def _window_marks(hashes: Column, k: int) -> Column:
+    """The mark of every window of ``k`` words, from the hashes of a text's words."""
+    if k < WINDOW:
+        return _grams(hashes, k)
+    least = lambda g: F.transform(F.sequence(F.lit(1), F.size(g) - SPAN + 1), lambda i: F.array_min(F.slice(g, i, SPAN)))
+    return F.when(F.size(hashes) >= WINDOW, _let(_grams(hashes, GRAM), least)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _grams(h: Column, k: int) -> Column:
-    empty = F.array().cast("array<bigint>")
-    return F.when(F.size(h) >= k, F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: _at(_gram(h, i, k), i))).otherwise(empty)
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
 
 
-def _grams_of(hashes: Column, k: int) -> Column:
-    return _let(hashes, lambda h: _grams(h, k))
+def _windows(words: Column, k: int, chosen: Callable[[Column], Column] | None = None) -> Column:
+    """array of struct(at, size, mark, words) for the windows of ``k`` words whose mark is chosen."""
 
+    def made(marks: Column) -> Column:
+        each = F.transform(marks, lambda m, i: F.struct(i.alias("at"), m.alias("mark")))
+        each = F.filter(each, lambda x: chosen(x["mark"])) if chosen else each
+        return F.transform(each, lambda x: F.struct(x["at"].alias("at"), F.lit(k).alias("size"), x["mark"].alias("mark"), F.concat_ws(" ", F.slice(words, x["at"] + 1, k)).alias("words")))
 
-def _winnowed(h: Column) -> Column:
-    """The kept fingerprints of a list of word hashes."""
-    kept = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - SPAN + 1), lambda i: F.array_min(F.slice(c, i, SPAN))))
-    return F.when(F.size(h) >= WINDOW, _let(_grams(h, GRAM), kept)).otherwise(F.array().cast("array<bigint>"))
+    return _let(_let(_hashed(words), lambda h: _window_marks(h, k)), made)
 
 
-def _prepared(text: Column, short: list[int]) -> Column:
-    """struct(n, marks) of a text; ``short`` are the lengths of items below a window."""
-    hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
-    marks = lambda h: F.concat(_winnowed(h), *[_grams(h, k) for k in short])
-    checked = lambda w: F.when(F.size(w) < (1 << POS_BITS), F.size(w)).otherwise(F.raise_error(F.lit("a text has too many words")).cast("int"))
-    return _let(words_of(text), lambda w: F.struct(checked(w).cast("long").alias("n"), _let(hashes(w), marks).alias("marks")))
+def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id (string), size, mark, words: the windows of each item, each once."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    windows = _windows(F.col("w"), WINDOW)
+    for k in range(WINDOW - 1, 0, -1):
+        windows = F.when(F.size("w") == k, _windows(F.col("w"), k)).otherwise(windows)
+    return items.select("item_id", F.explode(windows).alias("x")).select("item_id", "x.size", "x.mark", "x.words").distinct()
 
 
-def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_key, words, item_ids: texts of at least one word; equal word lists are one."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("i"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
-    return items.groupBy(F.md5(F.concat_ws(" ", "words")).alias("item_key"), "words").agg(F.collect_set("i").alias("item_ids"))
+def _joined(rows: DataFrame, few: DataFrame, on: str, bytes_: int) -> DataFrame:
+    return rows.join(F.broadcast(few) if bytes_ <= MOST_BROADCAST else few.hint("merge"), on)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -81,60 +86,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     no words; items without words never match; items with a null id mark words but are not
     counted.  Repeated rows get equal results; empty tables give no rows or no hits.
     """
-    items = written(benchmark_items(benchmark, item_col, item_text), "items")
-    short = sorted(r[0] for r in items.select(F.size("words")).where(F.size("words") < WINDOW).distinct().collect())  # below WINDOW values
-    hashes = F.transform("words", lambda x: F.xxhash64(x))
-    n = F.size("words")
-    whole = F.lit(None).cast("array<bigint>")
-    for k in short:
-        whole = F.when(n == k, _grams_of(hashes, k)).otherwise(whole)
-    marks = F.when(n >= WINDOW, _let(hashes, _winnowed)).otherwise(whole)
-    cut = F.lit((1 << POS_BITS) - 1).cast("long")
-    bench = written(items.select("item_key", F.explode(marks).alias("m")).select("item_key", F.shiftright("m", POS_BITS).alias("mark"), F.col("m").bitwiseAND(cut).alias("at")), "marks")
-    small = bench.count() <= BROADCAST_ROWS
+    items = written(benchmark_windows(benchmark, item_col, item_text), "windows")
+    bench = written(items.groupBy("words").agg(F.first("size").alias("size"), F.first("mark").alias("mark")), "bench")
+    marks = written(bench.select("mark").distinct(), "marks")
+    n_marks, mark_bytes = marks.count(), 24
+    window_bytes = bench.agg(F.coalesce(F.sum(F.octet_length("words") + 48), F.lit(0))).first()[0]
+    sizes = sorted({WINDOW, *(r[0] for r in bench.select("size").distinct().collect())})  # WINDOW of them at most
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_k"), _prepared(F.col(text_col), short).alias("_p"))
-    base = base.select("_id", "_k", F.col("_p.n").alias("n"), F.col("_p.marks").alias("marks"))
     keys = ["_id", "_k"]
-    if small:
-        # a null mark stands for the document itself, so that one scan gives both
-        rows = base.select(*keys, "n", F.explode(F.concat("marks", F.array(F.lit(None).cast("bigint")))).alias("m"))
-        rows = rows.withColumn("mark", F.shiftright("m", POS_BITS)).join(F.broadcast(bench), "mark", "left").where("m IS NULL OR item_key IS NOT NULL")
-        rows = written(rows.select(*keys, "n", "m", "item_key", "at"), "hits")
-        each, hits = rows.where("m IS NULL").select(*keys, "n"), rows.where("m IS NOT NULL")
+
+    def prepared(words: Column) -> Column:
+        own = lambda h: F.array_distinct(F.concat(*[_window_marks(h, k) for k in sizes]))
+        return F.struct(F.size(words).cast("long").alias("n"), _let(_hashed(words), own).alias("marks"))
+
+    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_k"), _let(words_of(F.col(text_col)), prepared).alias("_p"))
+    # a null mark stands for the document itself, so that one scan gives both
+    rows = base.select(*keys, F.col("_p.n").alias("n"), F.explode(F.concat("_p.marks", F.array(F.lit(None).cast("bigint")))).alias("mark"))
+    if n_marks * mark_bytes <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(marks.withColumn("_met", F.lit(True))), "mark", "left").where("mark IS NULL OR _met").drop("_met")
     else:
-        base = written(base, "prepared")
-        each = base.select(*keys, "n")
-        hits = base.select(*keys, F.explode("marks").alias("m")).withColumn("mark", F.shiftright("m", POS_BITS)).join(bench, "mark")
-    lines = hits.select(*keys, "item_key", (F.col("m").bitwiseAND(cut) - F.col("at")).cast("int").alias("line")).distinct()
-    named = items.select("item_key", F.col("words").alias("item"))
-    lines = lines.join(F.broadcast(named) if small else named, "item_key")
-    found = lines.groupBy(*keys).agg(F.collect_list(F.struct("item_key", "line", "item")).alias("found"))  # as many as the text has marks
-
-    def starts(words: Column, x: Column) -> Column:
-        size = F.least(F.size(x["item"]), F.lit(WINDOW))
-        low, high = F.greatest(F.lit(0), -x["line"]), F.least(F.size(x["item"]), F.size(words) - x["line"]) - size
-        same = lambda j: F.slice(words, x["line"] + j + 1, size) == F.slice(x["item"], j + 1, size)
-        return F.when(high >= low, F.filter(F.sequence(low, high), same)).otherwise(F.array().cast("array<int>"))
-
-    def matched(words: Column, x: Column) -> Column:
-        size = F.least(F.size(x["item"]), F.lit(WINDOW))
-        places = lambda s: F.flatten(F.transform(s, lambda j: F.sequence(x["line"] + j, x["line"] + j + size - 1)))
-        return F.struct(x["item_key"].alias("item_key"), _let(starts(words, x), places).alias("places"))
+        rows = rows.where("mark IS NULL").unionByName(rows.where("mark IS NOT NULL").join(marks.hint("merge"), "mark"))
+    rows = written(rows, "hits")
+    each, met = rows.where("mark IS NULL").select(*keys, "n"), rows.where("mark IS NOT NULL")
+    met = met.groupBy(*keys).agg(F.collect_set("mark").alias("met"))  # no more than the text has windows
 
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text).alias("_k"))
-    both = own.alias("o").join(found.alias("f"), (F.col("o._k") == F.col("f._k")) & F.col("o._id").eqNullSafe(F.col("f._id")))
-    verified = both.select("o._id", "o._k", _let(words_of(F.col("_text")), lambda w: F.transform("found", lambda x: matched(w, x))).alias("v"))
-    verified = verified.select(
-        *keys,
-        F.size(F.array_distinct(F.flatten(F.transform("v", lambda x: x["places"])))).cast("long").alias("n_hit"),
-        F.array_distinct(F.transform(F.filter("v", lambda x: F.size(x["places"]) > 0), lambda x: x["item_key"])).alias("keys"),
-    ).where("n_hit > 0")
-    ids = items.select("item_key", F.explode("item_ids").alias("item_id"))
-    named_hits = verified.select(*keys, "n_hit", F.explode("keys").alias("item_key")).join(F.broadcast(ids) if small else ids, "item_key", "left")
-    result = named_hits.groupBy(*keys).agg(F.max("n_hit").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    out = each.alias("e").join(result.alias("r"), (F.col("e._k") == F.col("r._k")) & F.col("e._id").eqNullSafe(F.col("r._id")), "left")
+    both = own.alias("o").join(met.alias("f"), (F.col("o._k") == F.col("f._k")) & F.col("o._id").eqNullSafe(F.col("f._id")))
+    chosen = lambda m: F.array_contains("met", m)
+    found = both.select("o._id", "o._k", _let(words_of(F.col("_text")), lambda w: F.concat(*[_windows(w, k, chosen) for k in sizes])).alias("w"))
+    found = found.select(*keys, F.explode("w").alias("x")).select(*keys, "x.at", "x.size", "x.words")
+    hits = written(_joined(found, bench.select("words", F.col("size").alias("_size")), "words", window_bytes).where("size = _size").drop("_size"), "found")
+
+    places = hits.groupBy(*keys).agg(F.collect_set(F.struct("at", "size")).alias("at"))  # no more than the text has words, for each size
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1))))
+    places = places.select(*keys, F.size(covered).cast("long").alias("n_hit"))
+    item_bytes = items.agg(F.coalesce(F.sum(F.octet_length("words") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 48), F.lit(0))).first()[0]
+    named = _joined(hits.select(*keys, "words").distinct(), items.select("words", "item_id"), "words", item_bytes)
+    ids = named.where("item_id IS NOT NULL").select(*keys, "item_id").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    same = lambda x, y: (F.col(f"{x}._k") == F.col(f"{y}._k")) & F.col(f"{x}._id").eqNullSafe(F.col(f"{y}._id"))
+    result = places.alias("p").join(ids.alias("i"), same("p", "i"), "left").select("p._id", "p._k", "n_hit", "item_ids")
+    out = each.alias("e").join(result.alias("r"), same("e", "r"), "left")
     return out.select(
         F.col("e._id").alias(id_col),
         F.col("e._k").alias("_k"),

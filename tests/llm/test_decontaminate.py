@@ -52,7 +52,7 @@ def test_brute_force(spark, make_docs, words):
 
 
 def test_shuffle_join(spark, make_docs, words, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", -1)
     check(spark, make_docs, *data(words))
 
 
@@ -66,3 +66,15 @@ def test_guarantee_at_every_offset(spark, make_docs, words):
     item = words(5, 30, 10_000)
     docs = [(j, " ".join(words(1000 + j, 7, 10_000) + item[j : j + 10] + words(2000 + j, 9, 10_000))) for j in range(21)]
     check(spark, make_docs, docs, [(1, " ".join(item))])
+
+
+def test_repetitive_texts(spark, make_docs):
+    """Texts of one word again and again, on both sides: a row for each of a text's marks, not for each pair of places."""
+    import time
+
+    items = [(n, "a " * (40 + n)) for n in range(30)] + [(99, "a b " * 30)]
+    docs = [(1, "a " * 40_000), (2, "a " * 9), (3, "b a " * 2000), (4, "a " * 10)]
+    began = time.time()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (40_000, 40_000, 30), 2: (9, 0, 0), 3: (4000, 4000, 1), 4: (10, 10, 30)}
+    assert time.time() - began < 60
