@@ -22,6 +22,10 @@ TRAIN_ROWS = 20_000
 MOST_BROADCAST = 1 << 24
 #: Weight of the overall rate in a suffix's smoothed rate.
 SMOOTHING = 20.0
+#: Lengths of the suffixes of a host that have statistics, in labels.
+SUFFIXES = (1, 2)
+#: Parts of the labelled hosts; rows to fit on get the suffix statistics of the other parts.
+FOLDS = 5
 #: Rules are tried in one expression; more of them are refused.
 MOST_RULES = 1_000
 
@@ -75,9 +79,13 @@ def _entropy(text: Column) -> Column:
     return F.when(n > 0, bits).otherwise(0.0)
 
 
-def suffix_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+def suffix_of(host: Column, labels: int) -> Column:
+    """The last labels of a host."""
+    return F.substring_index(host, ".", -labels)
+
+
+def fold_of(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host, F.lit(23)), F.lit(FOLDS)).cast("int")
 
 
 def with_features(urls: DataFrame, host: str, path: str, url: str) -> DataFrame:
@@ -110,7 +118,7 @@ class UrlModel:
     """Fitted trees, and the suffix statistics of all labelled URLs."""
 
     model: GBTClassificationModel | None
-    suffixes: DataFrame  # suffix, rate, seen
+    suffixes: DataFrame  # labels, suffix, URLs to block, URLs, and both for each fold
     rate: float
     names: tuple[str, ...]
     small: bool  # whether the suffixes can be broadcast
@@ -124,10 +132,30 @@ class UrlModel:
         return self.model.transform(rows).withColumn("_block", F.col("_prediction"))
 
 
-def _with_suffix(rows: DataFrame, host: str, suffixes: DataFrame, rate: float, small: bool) -> DataFrame:
-    """Adds the statistics of the host's suffix; a frequent one is split by AQE in a shuffle join."""
-    rows = rows.join(F.broadcast(suffixes) if small else suffixes.hint("merge"), suffix_of(F.col(host)) == F.col("_suffix"), "left")
-    return rows.withColumns({"f_suffix_rate": F.coalesce("_rate", F.lit(rate)), "f_suffix_seen": F.coalesce(F.log1p("_seen"), F.lit(0.0))})
+def _suffix_counts(known: DataFrame) -> DataFrame:
+    """_labels, _suffix, _y (labels summed up), _n (URLs), _folds (both for each fold)."""
+    host = host_of(F.col("_url"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), suffix_of(host, k).alias("s")) for k in SUFFIXES])
+    rows = known.select(fold_of(host).alias("fold"), "_label", F.explode(kinds).alias("x")).select("fold", "_label", F.col("x.k").alias("_labels"), F.col("x.s").alias("_suffix"))
+    rows = rows.groupBy("_labels", "_suffix", "fold").agg(F.sum("_label").alias("y"), F.count("*").cast("double").alias("n"))
+    folds = F.map_from_entries(F.collect_list(F.struct("fold", F.struct("y", "n"))))  # FOLDS at most
+    return rows.groupBy("_labels", "_suffix").agg(F.sum("y").alias("_y"), F.sum("n").alias("_n"), folds.alias("_folds"))
+
+
+def _with_suffix(rows: DataFrame, host: str, suffixes: DataFrame, rate: float, small: bool, out_of_fold: bool = False) -> DataFrame:
+    """Adds the statistics of the host's suffixes; a frequent one is split by AQE in a shuffle join.
+
+    Out of fold they leave out the URLs of the row's own fold, so that what is fitted on
+    them does not learn from a row's own label.
+    """
+    for k in SUFFIXES:
+        of = suffixes.where(F.col("_labels") == k).drop("_labels")
+        rows = rows.join(F.broadcast(of) if small else of.hint("merge"), suffix_of(F.col(host), k) == F.col("_suffix"), "left")
+        own = F.col("_folds")[fold_of(F.col(host))]
+        less = (lambda c: F.coalesce(own[c], F.lit(0.0))) if out_of_fold else (lambda c: F.lit(0.0))
+        y, n = (F.coalesce(F.col(f"_{c}"), F.lit(0.0)) - less(c) for c in ("y", "n"))
+        rows = rows.withColumns({f"f_suffix_rate_{k}": (y + SMOOTHING * rate) / (n + SMOOTHING), f"f_suffix_seen_{k}": F.log1p(n)}).drop("_suffix", "_y", "_n", "_folds")
+    return rows
 
 
 def fit(labelled: DataFrame, url: str = "url", label: str = "label", rows: int = TRAIN_ROWS) -> UrlModel:
@@ -140,17 +168,12 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", rows: int =
     known = written(known.groupBy("_url").agg(F.max("_label").alias("_label")), "labelled")
     n, blocked = known.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0.0))).first()
     rate = blocked / n if n else 0.0
-    suffixes = written(
-        known.groupBy(suffix_of(host_of(F.col("_url"))).alias("_suffix")).agg(
-            ((F.sum("_label") + SMOOTHING * rate) / (F.count("*") + SMOOTHING)).alias("_rate"), F.count("*").cast("double").alias("_seen")
-        ),
-        "suffixes",
-    )
-    small = suffixes.agg(F.coalesce(F.sum(F.octet_length("_suffix") + 48), F.lit(0))).first()[0] <= MOST_BROADCAST
+    suffixes = written(_suffix_counts(known), "suffixes")
+    small = suffixes.agg(F.coalesce(F.sum(F.octet_length("_suffix") + 32 * (2 + FOLDS)), F.lit(0))).first()[0] <= MOST_BROADCAST
     cells = 1 << 30
     picked = known.where(F.pmod(F.xxhash64("_url", F.lit(17)), F.lit(cells)) < int(min(1.0, rows / max(n, 1)) * cells))
     sample = written(picked.withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))}), "urls")
-    rows_ = _with_suffix(with_features(sample, "_host", "_path", "_url"), "_host", suffixes, rate, small)
+    rows_ = _with_suffix(with_features(sample, "_host", "_path", "_url"), "_host", suffixes, rate, small, out_of_fold=True)
     names = tuple(c for c in rows_.columns if c.startswith("f_"))
     if not 0 < rate < 1:
         return UrlModel(None, suffixes, rate, names, small)

@@ -87,10 +87,39 @@ def test_suffixes_of_all_urls(spark, monkeypatch):
     rows = [(f"http://a{i}.s{i % 50}.com/{i}", float(i % 50 < 10)) for i in range(2000)]
     labelled = spark.createDataFrame(rows * 2, "url string, label double")
     m = url_filter.fit(labelled, rows=200)
-    seen = {r._suffix: (r._seen, round(r._rate, 6)) for r in m.suffixes.collect()}
-    assert m.rate == 0.2 and seen == {f"s{k}.com": (40.0, round((40 * (k < 10) + url_filter.SMOOTHING * 0.2) / (40 + url_filter.SMOOTHING), 6)) for k in range(50)}
+    seen = {(r._labels, r._suffix): (r._n, r._y, len(r._folds)) for r in m.suffixes.collect()}
+    assert m.rate == 0.2 and seen == {(1, "com"): (2000.0, 400.0, 5)} | {(2, f"s{k}.com"): (40.0, 40.0 * (k < 10), 5) for k in range(50)}
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)] + [(None, None)], "page_id long, url string")
     want = sorted(map(str, url_filter.judge(pages, [], m).collect()))
     monkeypatch.setattr(url_filter, "MOST_BROADCAST", 10)
     shuffled = url_filter.fit(labelled, rows=200)
     assert m.small and not shuffled.small and sorted(map(str, url_filter.judge(pages, [], shuffled).collect())) == want
+
+
+def test_suffix_statistics_out_of_fold(spark):
+    """A suffix of one host tells a row to fit on nothing about its own label."""
+    rows = [(f"http://a.only{i}.com/{i}", float(i < 10)) for i in range(40)]
+    m = url_filter.fit(spark.createDataFrame(rows, "url string, label double"))
+    hosts = spark.createDataFrame([("a.only3.com",), ("a.only30.com",)], "_host string")
+    out = [r.f_suffix_rate_2 for r in url_filter._with_suffix(hosts, "_host", m.suffixes, m.rate, m.small, out_of_fold=True).collect()]
+    full = [r.f_suffix_rate_2 for r in url_filter._with_suffix(hosts, "_host", m.suffixes, m.rate, m.small).orderBy("_host").collect()]
+    assert out == [m.rate, m.rate] and full[0] > m.rate > full[1]
+
+
+def test_hosts_of_unseen_words(spark):
+    """Blocks are told by shape: precision and recall on hosts whose words the fitting never saw, against the majority."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfghjklmnprstv") + rng.choice("aeiou") for _ in range(rng.randrange(2, 4)))
+    good = lambda: f"https://www.{word()}.org/{word()}/{word()}.html"
+    bad = lambda: f"http://{word()}-{word()}{rng.randrange(100, 9999)}.{word()}.info/p?id={rng.randrange(10**6)}&ref={rng.randrange(99)}&s={word()}"
+    near = lambda: f"http://{word()}.info/{word()}?id={rng.randrange(99)}"
+    made = [(f(), y) for _ in range(400) for f, y in ((good, 0.0), (good, 0.0), (near, 0.0), (bad, 1.0))]
+    m = url_filter.fit(spark.createDataFrame(made[:1000], "url string, label double"))
+    held = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(made[1000:])], "page_id long, url string")
+    got = {r.page_id: r.verdict == "block" for r in url_filter.judge(held, [], m).collect()}
+    pairs = [(got[i], y == 1.0) for i, (_, y) in enumerate(made[1000:])]
+    hit = sum(g and y for g, y in pairs)
+    assert hit / sum(g for g, _ in pairs) > 0.9 and hit / sum(y for _, y in pairs) > 0.9
+    assert sum(g == y for g, y in pairs) > sum(not y for _, y in pairs) + 0.15 * len(pairs)  # the majority allows all
