@@ -5,8 +5,9 @@ document ids as raw little-endian integers, one ``.ids`` file for each range of
 index is one ``.mph`` file for each part of the hashed keys: bit arrays in which a key
 that is alone at its hashed place sets a bit and the others go on to the next array, so
 that the rank of a key's bit is its slot among 0..n-1.  A slot holds a 32-bit fingerprint
-of its key, the shard, the first id and the number of ids.  A lookup reads one part, a few
-bits and one slot, however many documents there are.
+of its key, the shard, the first id and the number of ids.  A lookup of one key reads a few
+words of bits and ranks, one slot and the ids, each by its offset, however many documents
+there are.
 
 Files are written by tasks through ``pyarrow.fs`` under a temporary name and then moved,
 so a task that runs again leaves one whole file.
@@ -33,6 +34,8 @@ from stratalex.llm.tokens import encoder
 
 #: Keys in one part of the index, on average.
 PART_KEYS = 100_000
+#: Bytes of ids in one batch that is read back, about.
+BATCH_BYTES = 1 << 23
 #: Bits of an array for each key that reaches it, and arrays before the rest is listed.
 GAMMA, LEVELS = 2.0, 40
 _NULL = np.uint64(1 << 40)
@@ -125,12 +128,15 @@ class PerfectHash:
 
     def dump(self) -> bytes:
         head = json.dumps({"sizes": self.sizes, "words": len(self.words), "rest": len(self.rest)}).encode()
-        return len(head).to_bytes(4, "little") + head + self.words.astype("<u8").tobytes() + self.rest.astype("<u8").tobytes()
+        arrays = (self.words, self.ranks[:-1], self.rest)
+        return len(head).to_bytes(4, "little") + head + b"".join(a.astype("<u8").tobytes() for a in arrays)
 
     @classmethod
     def load(cls, f: io.BytesIO) -> PerfectHash:
         head = json.loads(f.read(int.from_bytes(f.read(4), "little")))
-        return cls(head["sizes"], np.frombuffer(f.read(8 * head["words"]), "<u8"), np.frombuffer(f.read(8 * head["rest"]), "<u8"))
+        words = np.frombuffer(f.read(8 * head["words"]), "<u8")
+        f.seek(8 * head["words"], io.SEEK_CUR)  # the ranks follow from the words
+        return cls(head["sizes"], words, np.frombuffer(f.read(8 * head["rest"]), "<u8"))
 
 
 _SLOT = np.dtype([("mark", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("n", "<u8")])
@@ -149,6 +155,40 @@ def _keys(rows: pd.DataFrame) -> np.ndarray:
     return key_hash(rows["id"].fillna(0).to_numpy(np.int64), null, rows["seq"].to_numpy(np.int64))
 
 
+def _find_one(f, key: np.ndarray) -> np.void | None:
+    """The cell of one key, from a file that is read in a few places."""
+
+    def word(at: int) -> int:
+        f.seek(at)
+        return int.from_bytes(f.read(8), "little")
+
+    f.seek(0)
+    size = int.from_bytes(f.read(4), "little")
+    head = json.loads(f.read(size))
+    words = 4 + size
+    ranks, rest = words + 8 * head["words"], words + 16 * head["words"]
+    slot, first = None, 0
+    for level, n in enumerate(head["sizes"]):
+        at = int(_place(key, level, n)[0])
+        bits, bit = word(words + 8 * (first + at // 64)), 1 << at % 64
+        if bits & bit:
+            slot = word(ranks + 8 * (first + at // 64)) + (bits & (bit - 1)).bit_count()
+            break
+        first += (n + 63) // 64
+    if slot is None:
+        low, high, wanted = 0, head["rest"], int(key[0])
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if word(rest + 8 * mid) < wanted else (low, mid)
+        if low == head["rest"] or word(rest + 8 * low) != wanted:
+            return None
+        last = word(ranks + 8 * (head["words"] - 1)) + word(words + 8 * (head["words"] - 1)).bit_count() if head["words"] else 0
+        slot = last + low
+    f.seek(rest + 8 * head["rest"] + slot * _SLOT.itemsize)
+    cell = np.frombuffer(f.read(_SLOT.itemsize), _SLOT)[0]
+    return cell if cell["mark"] == _mark(key)[0] else None
+
+
 def _lookup(blob: bytes, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     f = io.BytesIO(blob)
     table = PerfectHash.load(f)
@@ -165,8 +205,9 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     """Writes ids and index under ``path``; returns the manifest.
 
     Null text counts as empty (its ids are the end id alone).  Rows that repeat an id get
-    entries of their own, numbered by their texts in order; null ids come first.  Every
-    task holds one batch of texts and one shard's narrow index rows.
+    entries of their own, in the order of their texts' hashes; null ids come first.  Ranges
+    are of id and that hash, so rows of one id may fill many shards.  Every task holds one
+    batch of texts and one shard's narrow index rows.
     """
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -193,11 +234,15 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
 
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .repartitionByRange(shards, "id")
-        .sortWithinPartitions("id", "text")
+        .withColumns({"hash": F.xxhash64("text"), "salt": F.monotonically_increasing_id() % 1024})
+        .repartitionByRange(shards, "id", "hash", "salt")
+        .sortWithinPartitions("id", "hash", "text", "salt")
+        .select("id", "text")
     )
     entries = written(ordered.mapInArrow(encode, "id long, seq long, shard int, first long, n long"), "entries")
-    sums = entries.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).orderBy("shard").collect()  # one row for each shard
+    ends = [F.min_by("id", "first").alias("head"), F.max_by("id", "first").alias("tail"), F.max_by("seq", "first").alias("last")]
+    sums = entries.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), *ends).orderBy("shard").collect()  # one row for each shard
+    entries = _numbered_on(entries, sums)
     parts = max(1, math.ceil(sum(r["docs"] for r in sums) / PART_KEYS))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -220,6 +265,21 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     return manifest | {"entries": entries}
 
 
+def _numbered_on(entries: DataFrame, sums: list) -> DataFrame:
+    """Goes on with the numbers of rows of one id where they fill more than one shard."""
+    more, before, carried = [], None, 0
+    for r in sums:
+        base = carried if before is not None and before == (r["head"],) else 0
+        if base:
+            more.append((r["shard"], r["head"], base))
+        before, carried = (r["tail"],), r["last"] + 1 + (base if r["head"] == r["tail"] else 0)
+    if not more:
+        return entries
+    bases = F.broadcast(entries.sparkSession.createDataFrame(more, "_shard int, _head long, _base long"))  # one row for each shard at most
+    both = entries.join(bases, (F.col("shard") == F.col("_shard")) & F.col("id").eqNullSafe(F.col("_head")), "left")
+    return both.select("id", (F.col("seq") + F.coalesce("_base", F.lit(0))).alias("seq"), "shard", "first", "n")
+
+
 def with_part(entries: DataFrame, parts: int) -> DataFrame:
     """Adds the part of the index that holds the key of (id, seq)."""
 
@@ -246,12 +306,15 @@ def read_store(keys: DataFrame, manifest: dict) -> DataFrame:
         out = rows[["id", "seq"]].assign(**{c: got[c].astype(np.int64) for c in ("shard", "first", "n")})
         return out[ok]
 
+    def packed(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "seq", "start", "ids"])
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, f = -1, None
         for batch in batches:
-            cols = batch.to_pydict()
-            payload, starts = [], []
-            for s, first, n in zip(cols["shard"], cols["first"], cols["n"], strict=True):
+            out: list[list] = [[], [], [], []]
+            held = 0
+            for i, q, s, first, n in zip(*(batch.column(c).to_pylist() for c in ("id", "seq", "shard", "first", "n")), strict=True):
                 if s != shard:
                     where, p = _open(f"{path}/{s:06d}.ids")
                     shard, f = s, pa.BufferedInputStream(where.open_input_file(p), 1 << 20)
@@ -261,29 +324,33 @@ def read_store(keys: DataFrame, manifest: dict) -> DataFrame:
                     f, at = pa.BufferedInputStream(where.open_input_file(p), 1 << 20), 0
                 while at < first:
                     at += len(f.read(min(2 * (first - at), 1 << 22))) // 2
-                payload.append(f.read(2 * n))
-                at += n
-                starts.append(bases[s] + first)
-            yield pa.RecordBatch.from_arrays([pa.array(cols["id"], pa.int64()), pa.array(cols["seq"], pa.int64()), pa.array(starts, pa.int64()), pa.array(payload, pa.binary())], ["id", "seq", "start", "ids"])
+                for column, x in zip(out, (i, q, bases[s] + first, f.read(2 * n)), strict=True):
+                    column.append(x)
+                at, held = at + n, held + 2 * n
+                if held > BATCH_BYTES:
+                    yield packed(out)
+                    out, held = [[], [], [], []], 0
+            yield packed(out)
 
     found = with_part(keys.select("id", "seq"), manifest["parts"]).groupBy("part").applyInPandas(find, "id long, seq long, shard long, first long, n long")
     return found.repartition("shard").sortWithinPartitions("shard", "first").mapInArrow(fetch, "id long, seq long, start long, ids binary")
 
 
 def get_ids(manifest: dict, doc_id: int | None, seq: int = 0) -> list[int] | None:
-    """Ids of one document, by one index part and one ranged read; None if not there."""
+    """Ids of one document, by a few short reads of the index and one of the ids; None if not there."""
     key = key_hash(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([seq]))
     part = int(_part_of(key, manifest["parts"])[0])
     where, p = _open(f"{manifest['path']}/{part:06d}.mph")
     if where.get_file_info(p).size is None:
         return None
-    got, ok = _lookup(_get(f"{manifest['path']}/{part:06d}.mph"), key)
-    if not ok[0]:
+    with where.open_input_file(p) as f:
+        cell = _find_one(f, key)
+    if cell is None:
         return None
-    where, p = _open(f"{manifest['path']}/{int(got['shard'][0]):06d}.ids")
+    where, p = _open(f"{manifest['path']}/{int(cell['shard']):06d}.ids")
     with where.open_input_file(p) as f:
-        f.seek(2 * int(got["first"][0]))
-        return np.frombuffer(f.read(2 * int(got["n"][0])), "<u2").tolist()
+        f.seek(2 * int(cell["first"]))
+        return np.frombuffer(f.read(2 * int(cell["n"])), "<u2").tolist()
 
 
 def store_digest(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import io
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -5,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from stratalex.llm import packing, token_store
@@ -47,7 +49,7 @@ def test_store_round_trip(spark, make_docs, words, tokenizer):
     data = rows(words)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_store.store_digest(spark, make_docs(data), NAME, 2).collect())
     want, at = [], 0
-    for i, t in sorted(((i, t or "") for i, t in data), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+    for i, t in sorted(((i, t or "") for i, t in data), key=lambda x: (x[0] is not None, x[0] or 0, np.uint64(xxhash.xxh64(x[1].encode(), 42).intdigest()).view(np.int64))):
         ids = tokenizer.encode(t, add_special_tokens=False).ids + [2]
         want.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -61,13 +63,28 @@ def test_store_lookup(spark, make_docs, tokenizer):
     assert token_store.get_ids(manifest, 3) is None
 
 
+def test_one_id_in_many_shards(spark, make_docs, tokenizer):
+    """Rows of one id, or of none, and equal rows go over the shards; each has an entry of its own."""
+    data = [(7, f"text {i}") for i in range(300)] + [(None, f"none {i % 40}") for i in range(400)] + [(8, "same")] * 200
+    manifest = token_store.write_store(make_docs(data), scratch_path(spark, "t"), NAME, 2)
+    keys = [(r.id, r.seq) for r in manifest["entries"].collect()]
+    assert len(set(keys)) == len(keys) == 900 and {i: max(s for j, s in keys if j == i) for i in (7, None, 8)} == {7: 299, None: 399, 8: 199}
+    got = Counter(bytes(r.ids) for r in token_store.read_store(manifest["entries"], manifest).collect())
+    assert got == Counter(np.array(tokenizer.encode(t).ids + [2], "<u2").tobytes() for _, t in data)
+    assert {tuple(token_store.get_ids(manifest, 7, k)) for k in range(300)} == {(*tokenizer.encode(f"text {i}").ids, 2) for i in range(300)}
+    assert token_store.get_ids(manifest, 7, 300) is None and token_store.get_ids(manifest, None, 399) is not None
+
+
 def test_perfect_hash():
     for n in (0, 1, 2, 1000, 50_000):
         keys = np.random.default_rng(n).permutation(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         table = token_store.PerfectHash.build(keys)
         assert sorted(table.slots(keys).tolist()) == list(range(n))
-    import io
-
+        cells = np.zeros(n, token_store._SLOT)
+        cells["mark"][table.slots(keys)], cells["first"][table.slots(keys)] = token_store._mark(keys), np.arange(n)
+        file = io.BytesIO(table.dump() + cells.tobytes())
+        assert all(token_store._find_one(file, keys[i : i + 1])["first"] == i for i in range(0, n, 997))
+        assert all(token_store._find_one(file, np.array([x], np.uint64)) is None for x in (1, 2, 3))
     again = token_store.PerfectHash.load(io.BytesIO(table.dump()))
     assert (again.slots(keys) == table.slots(keys)).all()
 
