@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stratalex.functions import urls
 from stratalex.functions.text import wrap_formulas
+from stratalex.sources.scratch import written
 
 # What is removed, and where the main text is looked for.
 DROP_TAGS = {"script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"}
@@ -36,44 +38,49 @@ class Node:
         return [k for k in self.kids if isinstance(k, Node)]
 
     def text(self) -> str:
-        return "".join("\n" if k.tag == "br" else k.text() if isinstance(k, Node) else k for k in (x if isinstance(x, Node) else _Text(x) for x in self.kids))
+        out, todo = [], self.kids[::-1]
+        while todo:
+            k = todo.pop()
+            if not isinstance(k, Node):
+                out.append(k)
+            elif k.tag == "br":
+                out.append("\n")
+            else:
+                todo.extend(reversed(k.kids))
+        return "".join(out)
 
     def find(self, wanted) -> Iterator[Node]:
-        for k in self.elements():
+        """Elements below, in page order."""
+        todo = self.elements()[::-1]
+        while todo:
+            k = todo.pop()
             if wanted(k):
                 yield k
-            yield from k.find(wanted)
-
-
-class _Text(Node):
-    def __init__(self, value: str) -> None:
-        super().__init__("#text", {})
-        self.kids = value
-
-    def text(self) -> str:
-        return self.kids
+            todo.extend(reversed(k.elements()))
 
 
 class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
-        self.stack = [self.root]
+        self.stack, self.open = [self.root], Counter()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         closes = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}.get(tag, {"p"} if tag in ("div", "ul", "ol", "table", "section", "article", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6") else set())
         while len(self.stack) > 1 and closes and any(n.tag in closes for n in self.stack[-3:]):
-            self.stack.pop()
+            self.open[self.stack.pop().tag] -= 1
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.stack[-1].kids.append(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
+        ended = not self.open[tag]
+        while not ended:
+            last = self.stack.pop().tag
+            self.open[last] -= 1
+            ended = last == tag
 
     def handle_data(self, data: str) -> None:
         self.stack[-1].kids.append(data)
@@ -90,11 +97,13 @@ def _classes(n: Node) -> set[str]:
     return set(n.attrs.get("class", "").split())
 
 
-def _clean(n: Node) -> None:
+def _clean(root: Node) -> None:
     dropped = lambda k: isinstance(k, Node) and (k.tag in DROP_TAGS or not DROP_CLASSES.isdisjoint(_classes(k)) or k.attrs.get("role") == "navigation")
-    n.kids = [k for k in n.kids if not dropped(k)]
-    for k in n.elements():
-        _clean(k)
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        n.kids = [k for k in n.kids if not dropped(k)]
+        todo.extend(n.elements())
 
 
 def _table(table: Node) -> str:
@@ -109,8 +118,10 @@ def _table(table: Node) -> str:
     return out + "\n" if head else ""
 
 
-def _render(n: Node, out: list[str]) -> None:
-    for k in n.elements():
+def _render(root: Node, out: list[str]) -> None:
+    todo = root.elements()[::-1]
+    while todo:
+        k = todo.pop()
         t = k.tag
         if re.fullmatch("h[1-6]", t):
             out.append(f"\n{'#' * int(t[1])} {k.text().strip()}\n\n")
@@ -134,18 +145,14 @@ def _render(n: Node, out: list[str]) -> None:
             out.append("---\n\n")
         elif t in ("math", "annotation"):
             out.append(k.text() + "\n")
-        elif k.elements():
-            _render(k, out)
+        elif inner := k.elements():
+            todo.extend(reversed(inner))
         elif k.text().strip():
             out.append(k.text().strip() + "\n\n")
 
 
-def page_text(html: str | None) -> str:
-    """Markdown-like text of a page's main part; own text beside child elements is left out."""
-    if not html:
-        return ""
-    root = parse(html)
-    _clean(root)
+def _text(root: Node) -> str:
+    """Markdown-like text of a cleaned page's main part; own text beside child elements is left out."""
     body = next(root.find(lambda k: k.tag == "body"), root)
     main = lambda k: k.tag in MAIN_TAGS or k.attrs.get("role") == "main" or not MAIN_CLASSES.isdisjoint(_classes(k)) or k.attrs.get("id") in MAIN_IDS
     title = next(root.find(lambda k: k.tag == "title"), None)
@@ -156,19 +163,32 @@ def page_text(html: str | None) -> str:
     return (text[:LONGEST] + "\n\n...[truncated]" if len(text) > LONGEST else text).strip()
 
 
-def page_tables(html: str | None) -> list[str]:
-    return [_table(t).strip("\n") for t in parse(html or "").find(lambda k: k.tag == "table")]
+def _links(root: Node, url: str | None) -> list[str]:
+    return [urljoin(url or "", a.attrs["href"].strip()) for a in root.find(lambda k: k.tag == "a" and "href" in k.attrs)]
 
 
-def page_links(url: str | None, html: str | None) -> list[str]:
-    """Absolute targets of the links that are left once menus and the like are gone."""
-    root = parse(html or "")
-    _clean(root)
-    return [urljoin(url or "", a.attrs["href"].strip()) for a in root.find(lambda k: k.tag == "a" and "href" in k.attrs)]
+def page(url: str | None, html: str | None, columns: Sequence[str] = ("text", "tables", "links"), kept_links_only: bool = True) -> dict:
+    """What is asked for of a page, from one parse.
 
+    text: of the main part, empty without a page; tables: all, as text; links: absolute
+    targets, with ``kept_links_only`` of those left once menus and the like are gone.
+    """
+    root, out = parse(html or ""), {}
+    if "tables" in columns:
+        out["tables"] = [_table(t).strip("\n") for t in root.find(lambda k: k.tag == "table")]
+    if "links" in columns and not kept_links_only:
+        out["links"] = _links(root, url)
+    if "text" in columns or ("links" in columns and kept_links_only):
+        _clean(root)
+    if "links" in columns and kept_links_only:
+        out["links"] = _links(root, url)
+    if "text" in columns:
+        out["text"] = _text(root) if html else ""
+    return out
 
-def all_links(url: str | None, html: str | None) -> list[str]:
-    return [urljoin(url or "", a.attrs["href"].strip()) for a in parse(html or "").find(lambda k: k.tag == "a" and "href" in k.attrs)]
+
+def page_text(html: str | None) -> str:
+    return page(None, html, ["text"])["text"]
 
 
 def resolve_redirect(url: str, location: str) -> str:
@@ -176,20 +196,17 @@ def resolve_redirect(url: str, location: str) -> str:
     return quote(urljoin(url, location), safe="%/:?#[]@!$&'()*+,;=~-._")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", kept_links_only: bool = True) -> DataFrame:
-    """For each page: id, url, text, tables, links, from one parse."""
-    found = page_links if kept_links_only else all_links
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", kept_links_only: bool = True, columns: Sequence[str] = ("text", "tables", "links")) -> DataFrame:
+    """For each page: id, url and, of text, tables and links, what is asked for, from one parse."""
+    kinds = {"text": ("string", pa.string()), "tables": ("array<string>", pa.list_(pa.string())), "links": ("array<string>", pa.list_(pa.string()))}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u, h = b.column(1).to_pylist(), b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(map(page_text, h), pa.string()), pa.array(map(page_tables, h), pa.list_(pa.string())), pa.array([found(x, y) for x, y in zip(u, h, strict=True)], pa.list_(pa.string()))],
-                ["page_id", "url", "text", "tables", "links"],
-            )
+            found = [page(u, h, columns, kept_links_only) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([f[c] for f in found], kinds[c][1]) for c in columns)], ["page_id", "url", *columns])
 
     rows = pages.select(F.col(id_col).cast("long"), F.col(url_col), F.col(html_col))
-    return rows.mapInArrow(read, "page_id long, url string, text string, tables array<string>, links array<string>")
+    return rows.mapInArrow(read, ", ".join(["page_id long, url string", *(f"{c} {kinds[c][0]}" for c in columns)]))
 
 
 def edges_of(extracted: DataFrame) -> DataFrame:
@@ -197,19 +214,22 @@ def edges_of(extracted: DataFrame) -> DataFrame:
     return links.select("src", urls.normalise(F.col("l")).alias("dst")).where("dst IS NOT NULL").distinct()
 
 
-def bfs(edges: DataFrame, seeds: Sequence[str], depth: int = 2, words: Sequence[str] = (), domains: Sequence[str] = ()) -> DataFrame:
+def bfs(edges: DataFrame, seeds: Sequence[str], depth: int = 2, words: Sequence[str] = (), domains: Sequence[str] = (), most: int | None = None) -> DataFrame:
     """url, depth: what is reached from the seeds, each page at its least depth.
 
     One join for each level; the frontier is written between levels, so a lost executor
-    costs no more than its own level.
+    costs no more than its own level.  With ``most`` the crawl ends with that many pages,
+    the nearest first and by URL among the equally near.
     """
     spark = edges.sparkSession
     start = spark.createDataFrame([(s,) for s in seeds], "url string").select(urls.normalise(F.col("url")).alias("url")).where("url IS NOT NULL").distinct().withColumn("depth", F.lit(0))
     seen, frontier = start, start
     links = edges.where(urls.in_paths(F.col("dst"), words))
     for level in range(1, depth + 1):
+        if most is not None and seen.count() >= most:
+            break
         ahead = frontier.where(urls.in_domains(F.col("url"), domains)).select(F.col("url").alias("src"))
         new = links.join(ahead, "src", "left_semi").select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(level))
-        frontier = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new
+        frontier = written(new, "frontier")
         seen = seen.unionByName(frontier)
-    return seen
+    return seen if most is None else seen.orderBy("depth", "url").limit(most)

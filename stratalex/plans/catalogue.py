@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from stratalex.plans import chat, store, texts, web  # noqa: F401
-    from stratalex.plans import search  # noqa: F401
+    from stratalex.plans import ingest, search  # noqa: F401
 
 
 #: The chunk view in SQL.

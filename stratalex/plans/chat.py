@@ -35,7 +35,8 @@ def last_n_history(spark, sf):
     return history.last_messages(table(spark, sf, "conversations"), 2).select("conv_id", "turn", "role")
 
 
-@query("prompt_messages")
+@query("prompt_messages", """SELECT conv_id, CAST(to_json(list_concat([struct_pack(role := 'system', content := 'You are a tutor.')], list(struct_pack(role := lower(role), content := text) ORDER BY turn))) AS VARCHAR) AS messages
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 19 AND trim(text) <> '' GROUP BY conv_id""")
 def prompt_messages(spark, sf):
     return history.prompt_messages(table(spark, sf, "conversations"), "You are a tutor.")
 

@@ -15,17 +15,21 @@ _PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
 
 @query("html_extract")
 def html_extract(spark, sf):
-    return web.extract(table(spark, sf, "pages")).select("page_id", "url", "text")
+    return web.extract(table(spark, sf, "pages"), columns=["text"]).select("page_id", "url", "text")
 
 
 @query("html_tables")
 def html_tables(spark, sf):
-    return web.extract(table(spark, sf, "pages")).select("page_id", F.explode_outer("tables").alias("table_text"))
+    return web.extract(table(spark, sf, "pages"), columns=["tables"]).select("page_id", F.explode_outer("tables").alias("table_text"))
 
 
-@query("html_links")
+# the pages' links all start at the host's root
+_LINKS = r"""SELECT page_id, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || unnest(regexp_extract_all(regexp_replace(html, '<script.*?</script>|<!--.*?-->', '', 'gs'), '<a[^>]* href="([^"]*)"', 1)) AS link FROM pages"""
+
+
+@query("html_links", f"SELECT page_id, link FROM ({_LINKS})")
 def html_links(spark, sf):
-    return web.extract(table(spark, sf, "pages"), kept_links_only=False).select("page_id", F.explode("links").alias("link"))
+    return web.extract(table(spark, sf, "pages"), kept_links_only=False, columns=["links"]).select("page_id", F.explode("links").alias("link"))
 
 
 _NORMAL = rf"""CASE WHEN lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) IN ('http', 'https') THEN
@@ -81,12 +85,21 @@ _EDGES = """e AS (SELECT DISTINCT 'http://p/' || page_id AS src, 'http://p/' ||
 @query("bfs_crawl", f"""WITH RECURSIVE {_EDGES}, r(url, depth) AS (SELECT 'http://p/0', 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.url WHERE depth < 3)
 SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY url""")
 def bfs_crawl(spark, sf):
-    p = table(spark, sf, "pages")
+    return web.bfs(_edges(table(spark, sf, "pages")), ["http://p/0"], 3)
+
+
+def _edges(p):
     n = p.count()
-    e = p.select("page_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(7))).alias("k")).select(F.concat(F.lit("http://p/"), "page_id").alias("src"), F.concat(F.lit("http://p/"), (F.col("page_id") * 3 + F.col("k")) % n).alias("dst")).distinct()
-    return web.bfs(e, ["http://p/0"], 3)
+    return p.select("page_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(7))).alias("k")).select(F.concat(F.lit("http://p/"), "page_id").alias("src"), F.concat(F.lit("http://p/"), (F.col("page_id") * 3 + F.col("k")) % n).alias("dst")).distinct()
+
+
+def _normal_sql(of: str) -> str:
+    """The normal form of a URL column without a port, as SQL."""
+    origin = f"regexp_extract({of}, '^([A-Za-z]+)://', 1) || '://' || lower(regexp_extract({of}, '^[A-Za-z]+://([^/?#]*)', 1))"
+    rest = f"CASE WHEN regexp_extract({of}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract({of}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END || regexp_extract({of}, '^[^?#]*(\\?[^#]*)', 1)"
+    return f"{origin} || CASE WHEN length({rest}) > 1 AND suffix({rest}, '/') THEN substr({rest}, 1, length({rest}) - 1) ELSE {rest} END"
 
 
-@query("page_graph")
+@query("page_graph", f"SELECT DISTINCT {_normal_sql('url')} AS src, {_normal_sql('link')} AS dst FROM ({_LINKS})")
 def page_graph(spark, sf):
-    return web.edges_of(web.extract(table(spark, sf, "pages"), kept_links_only=False))
+    return web.edges_of(web.extract(table(spark, sf, "pages"), kept_links_only=False, columns=["links"]))

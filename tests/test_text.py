@@ -80,7 +80,7 @@ def test_page_text():
     text = web.page_text(html)
     for part in ("# T", "## H", "One two", "- x", "| a | b |\n| --- | --- |\n| 1 | 2 |", "```\nc\n```", "[图: pic]"):
         assert part in text
-    assert web.page_links("http://h/d/", html) == ["http://h/d/sub?q=1"]
-    assert web.all_links("http://h/d/", html) == ["http://h/n", "http://h/d/sub?q=1"]
+    assert web.page("http://h/d/", html, ["links"])["links"] == ["http://h/d/sub?q=1"]
+    assert web.page("http://h/d/", html, ["links"], False)["links"] == ["http://h/n", "http://h/d/sub?q=1"]
     assert web.resolve_redirect("http://h/a", "/b c/é") == "http://h/b%20c/%C3%A9"
-    assert web.page_text(None) == "" and web.page_tables("") == []
+    assert web.page_text(None) == "" and web.page(None, "", ["tables"])["tables"] == []
