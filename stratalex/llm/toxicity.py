@@ -16,12 +16,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalex.llm.common import written
+
 #: Bounds of the sample the classifier is fitted on, about; a hash of the id picks it.
 TOXIC_ROWS, UNLABELLED_ROWS = 4_000, 12_000
 #: Words in the model; toxic sample texts, and their share, that a word must stand in.
@@ -57,7 +60,7 @@ class Model:
     def score(self, text: str | None) -> float:
         """0 to 1; a text without known words, or none, gets the bias's."""
         known = self.weights
-        f = self.bias + sum(map(known.__getitem__, text_words(text) & known.keys()))
+        f = self.bias + fsum(map(known.__getitem__, text_words(text) & known.keys()))  # in any order
         return float(1 / (1 + np.exp(-np.clip(f, -30, 30))))
 
 
@@ -77,17 +80,30 @@ class _Rows:
         return np.append(np.bincount(self.word, slope[self.at], self.words), slope.sum())
 
 
+def _sigmoid(f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+
+
+def risks(x: np.ndarray, p: _Rows, u: _Rows, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The risk on toxic texts and that on clean ones as estimated, and the gradients of both.
+
+    ``x``: weights of the words, then the bias; ``p`` and ``u``: toxic and unlabelled texts.
+    """
+    fp, fu = p.values(x[:-1], x[-1]), u.values(x[:-1], x[-1])
+    toxic, clean = prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    of_toxic = prior * p.back((_sigmoid(fp) - 1) / p.n)
+    of_clean = u.back(_sigmoid(fu) / u.n) - prior * p.back(_sigmoid(fp) / p.n)
+    return float(toxic), float(clean), of_toxic, of_clean
+
+
 def fit_nnpu(toxic: list[list[int]], other: list[list[int]], words: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under the non-negative risk (Adam steps)."""
     p, u = _Rows(toxic, words), _Rows(other, words)
     x = np.append(np.zeros(words), np.log(prior / (1 - prior)))
     mean, square = np.zeros_like(x), np.zeros_like(x)
-    sigmoid = lambda f: 1 / (1 + np.exp(-np.clip(f, -30, 30)))
     for step in range(1, STEPS + 1):
-        fp, fu = p.values(x[:-1], x[-1]), u.values(x[:-1], x[-1])
-        clean = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        of_clean = u.back(sigmoid(fu) / u.n) - prior * p.back(sigmoid(fp) / p.n)
-        slope = prior * p.back((sigmoid(fp) - 1) / p.n) + of_clean if clean >= 0 else -of_clean
+        _, clean, of_toxic, of_clean = risks(x, p, u, prior)
+        slope = of_toxic + of_clean if clean >= 0 else -of_clean
         slope[:-1] += DECAY / p.n * x[:-1]
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         x = x - RATE * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
@@ -119,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(text_words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["y", "words"])
 
-    sample = sample.mapInArrow(words_of, "y int, words array<string>")
+    sample = written(sample.mapInArrow(words_of, "y int, words array<string>"), "sample")  # read three times
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Model({}, float(np.log(prior / (1 - prior))))

@@ -42,6 +42,21 @@ def test_lookup_table_is_even_and_stable():
     assert moved < len(table) * 0.2
 
 
+def test_table_by_the_definition():
+    """Filled by whole preference lists, one turn after another."""
+    import zlib
+
+    for shards, slots in ((("a", "b", "c"), 7), (sharding.SHARDS[:9], 101), (sharding.SHARDS, sharding.SLOTS)):
+        lists = [[(zlib.crc32(f"offset {s}".encode()) + k * (zlib.crc32(f"step {s}".encode()) % (slots - 1) + 1)) % slots for k in range(slots)] for s in shards]
+        assert all(sorted(x) == list(range(slots)) for x in lists)
+        owner = {}
+        while len(owner) < slots:
+            for i, wish in enumerate(lists):
+                if len(owner) < slots:
+                    owner[next(x for x in wish if x not in owner)] = i
+        assert [owner[s] for s in range(slots)] == sharding.lookup_table(shards, slots)
+
+
 def test_assign_shards(make_docs):
     docs = make_docs([(i, "t") for i in range(500)] + [(None, None), (3, "again")])
     got = sharding.assign_shards(docs).collect()

@@ -55,6 +55,58 @@ def test_no_labels(spark, make_docs):
     assert toxicity.score(make_docs([]), toxicity.fit(make_docs([]), none)).count() == 0
 
 
+def numeric(f, x, step=1e-5):
+    out = np.zeros_like(x)
+    for i in range(len(x)):
+        to = np.zeros_like(x)
+        to[i] = step
+        out[i] = (f(x + to) - f(x - to)) / (2 * step)
+    return out
+
+
+def test_gradients_of_the_risk():
+    r = np.random.default_rng(1)
+    toxic = [sorted(set(r.integers(0, 8, 4).tolist())) for _ in range(9)] + [[]]
+    other = [sorted(set(r.integers(0, 8, 3).tolist())) for _ in range(30)]
+    p, u = toxicity._Rows(toxic, 8), toxicity._Rows(other, 8)
+
+    def plain(x):  # the risk by its definition, text by text
+        f = lambda words: sum(x[w] for w in words) + x[-1]
+        loss = lambda z: np.log1p(np.exp(-z))
+        mean = lambda rows, sign: np.mean([loss(sign * f(t)) for t in rows])
+        return 0.3 * mean(toxic, 1), mean(other, -1) - 0.3 * mean(toxic, -1)
+
+    signs = set()
+    for scale in (0.1, 1.0, 6.0):
+        x = r.normal(0, scale, 9)
+        on_toxic, on_clean, of_toxic, of_clean = toxicity.risks(x, p, u, 0.3)
+        assert np.allclose((on_toxic, on_clean), plain(x))
+        assert np.allclose(of_toxic, numeric(lambda y: plain(y)[0], x), atol=1e-6) and np.allclose(of_clean, numeric(lambda y: plain(y)[1], x), atol=1e-6)
+    x = np.array([9.0] * 8 + [-60.0])
+    signs.add(toxicity.risks(x, toxicity._Rows([[0, 1, 2, 3, 4, 5, 6, 7]] * 3, 8), u, 0.9)[1] < 0)
+    assert signs == {True}  # the bracket can fall below zero
+
+
+def test_against_learning_unlabelled_texts_as_clean():
+    """With many toxic texts among the unlabelled ones, taking those for clean finds fewer."""
+    r = np.random.default_rng(2)
+    text = lambda toxic: sorted({int(r.integers(0, 6) if toxic and r.random() < 0.7 else r.integers(6, 40)) for _ in range(3)})
+    toxic, hidden, clean = [text(True) for _ in range(150)], [text(True) for _ in range(300)], [text(False) for _ in range(700)]
+    found = {}
+    for name, prior in (("prior", 0.3), ("plain", None)):
+        if prior:
+            w, b = toxicity.fit_nnpu(toxic, hidden + clean, 40, prior)
+        else:  # all unlabelled as clean, by the same steps
+            p, u = toxicity._Rows(toxic, 40), toxicity._Rows(hidden + clean, 40)
+            x = np.zeros(41)
+            for _ in range(3000):
+                x -= 0.5 * (p.back((toxicity._sigmoid(p.values(x[:-1], x[-1])) - 1) / 1150) + u.back(toxicity._sigmoid(u.values(x[:-1], x[-1])) / 1150))
+            w, b = x[:-1], x[-1]
+        f = lambda t: sum(w[k] for k in t) + b  # noqa: B023, E731
+        found[name] = np.mean([f(t) > 0 for t in hidden]), np.mean([f(t) > 0 for t in clean])
+    assert found["prior"][0] > found["plain"][0] + 0.1 and found["prior"][1] < 0.1
+
+
 def test_risk_is_lowered_by_fit():
     r = np.random.default_rng(0)
     toxic = [[0, int(r.integers(2, 20))] for _ in range(50)]
