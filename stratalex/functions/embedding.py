@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,34 +14,52 @@ from pyspark.sql.types import ArrayType, FloatType
 DIM = 256
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 # Fixed value: what separates words.
-_WORDS = re.compile(r"[ \t\n\x0b\f\r，。；：！？、()\[\]{}]+")
+_BETWEEN = " \t\n\x0b\f\r，。；：！？、()[]{}"
+_SEPARATES = np.zeros(1 << 16, bool)
+_SEPARATES[[ord(c) for c in _BETWEEN]] = True
+_INVERSE = pow(31, -1, 1 << 64)
 
 
-def word_slot(word: str) -> int:
-    """Slot of a word: a polynomial hash in signed 32 bits, its remainder's amount."""
-    h = 0
-    for c in word:
-        h = (31 * h + ord(c)) & 0xFFFFFFFF
-    h = h - (1 << 32) if h >= 1 << 31 else h
-    return abs(int(np.fmod(h, DIM)))
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of 31 and of its inverse modulo 2**64."""
+    out = []
+    for base in (31, _INVERSE):
+        a = np.full(n, base, np.uint64)
+        a[0] = 1
+        out.append(np.cumprod(a, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def word_slots(c: np.ndarray) -> np.ndarray:
+    """Slots of the words of two characters or more in a text's code points.
+
+    A word's hash is the polynomial of its characters in signed 32 bits; all are read off
+    one running sum.  The slot is the amount of its remainder.
+    """
+    inside = np.zeros(len(c) + 2, bool)
+    inside[1:-1] = ~_SEPARATES[np.minimum(c, (1 << 16) - 1)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    long = ends - starts >= 2
+    starts, ends = starts[long], ends[long]
+    up, down = _powers(max(1 << 12, 1 << int(len(c)).bit_length()))
+    sums = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum(c.astype(np.uint64) * down[: len(c)], out=sums[1:])
+    h = ((sums[ends] - sums[starts]) * up[ends - 1]).astype(np.uint32).view(np.int32).astype(np.int64)
+    return np.abs(np.fmod(h, DIM))
 
 
 def embed(text: str | None) -> np.ndarray:
-    out = np.zeros(DIM)
     if not text:
-        return out.astype(np.float32)
+        return np.zeros(DIM, np.float32)
     plain = _SPACE.sub(" ", text.lower())
     c = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    out = 2.0 * np.bincount(word_slots(c), minlength=DIM)
     if len(c) > 1:
         out += np.bincount((c[:-1] * 31 + c[1:]) % DIM, minlength=DIM)
     if len(c) > 2:
         out += np.bincount((c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % DIM, minlength=DIM)
-    slots: dict[str, int] = {}
-    for w in _WORDS.split(plain):
-        if len(w) >= 2:
-            if w not in slots:
-                slots[w] = word_slot(w)
-            out[slots[w]] += 2
     norm = np.sqrt((out * out).sum())
     return (out / norm if norm else out).astype(np.float32)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,21 +11,30 @@ from stratalex.operators.order import with_sum_before
 from stratalex.sources.scratch import written
 
 DAMPING = 0.9
+#: Anchors up to which they are broadcast.
+MOST_ANCHORS = 1000
 
 
 def neighbours(chunks: DataFrame, anchors: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
-    """anchor_id, chunk_id, side: the chunks next to each anchor in its source.
+    """anchor_id, chunk_id, side, distance: the chunks next to each anchor in its source.
 
     ``anchors`` (anchor_id, source_file, start_char) are few.  The place of an anchor is
-    that of the first chunk whose offset isn't smaller, as offsets have plateaus.  Only
-    chunks of the anchors' sources are numbered.
+    that of the first chunk whose offset isn't smaller, as offsets have plateaus.  Each next
+    neighbour is a minimum or maximum over the source, so a source of any size is summed up
+    in the tasks that read it; many anchors are looked up among the neighbours of all.
     """
-    sources = F.broadcast(anchors.select("source_file").distinct())
-    order = Window.partitionBy("source_file").orderBy("start_char", "chunk_id")
-    placed = chunks.join(sources, "source_file", "left_semi").select("source_file", "chunk_id", "start_char").withColumn("place", F.row_number().over(order))
-    at = placed.alias("p").join(F.broadcast(anchors).alias("a"), "source_file").where("p.start_char >= a.start_char").groupBy("a.anchor_id", "source_file").agg(F.min("place").alias("at"))
-    around = placed.join(F.broadcast(at), "source_file").where((F.col("place") != F.col("at")) & F.col("place").between(F.col("at") - before, F.col("at") + after))
-    return around.select("anchor_id", "chunk_id", F.when(F.col("place") < F.col("at"), "before").otherwise("after").alias("side"), (F.col("place") - F.col("at")).alias("distance"))
+    if anchors.count() > MOST_ANCHORS:
+        return all_neighbours(chunks, before, after).join(anchors.select("anchor_id"), "anchor_id", "left_semi")
+    rows = chunks.select("source_file", F.struct("start_char", "chunk_id").alias("p"))
+    met = rows.join(F.broadcast(anchors), "source_file").where(F.col("p.start_char") >= F.col("start_char"))
+    at = met.groupBy("anchor_id", "source_file").agg(F.min("p").alias("low")).withColumn("high", F.col("low"))
+    out = []
+    for d in range(1, max(before, after) + 1):
+        at = rows.join(F.broadcast(at), "source_file").groupBy("anchor_id", "source_file").agg(F.max(F.when(F.col("p") < F.col("low"), F.col("p"))).alias("low"), F.min(F.when(F.col("p") > F.col("high"), F.col("p"))).alias("high"))
+        for side, n, end, sign in (("before", before, "low", -1), ("after", after, "high", 1)):
+            if d <= n:
+                out.append(at.where(F.col(end).isNotNull()).select("anchor_id", F.col(f"{end}.chunk_id").alias("chunk_id"), F.lit(side).alias("side"), F.lit(sign * d).alias("distance")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def all_neighbours(chunks: DataFrame, before: int = 1, after: int = 1) -> DataFrame:

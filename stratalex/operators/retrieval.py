@@ -8,12 +8,14 @@ exploded or shuffled, and the top lists are bounded.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalex.functions import enrich
 from stratalex.functions import text as T
+from stratalex.sources.scratch import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
 BM25_TOP, KNN_TOP = 100, 200
@@ -30,15 +32,43 @@ def postings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def write_index(rows: DataFrame, id_col: str, fields: Sequence[str], path: str) -> None:
+    """The postings of ``fields`` in order of (field, term), and the figures of each field.
+
+    A query then reads only the row groups that its terms are in, however large the store.
+    """
+    every = reduce(DataFrame.unionByName, [postings(rows, id_col, f).withColumn("field", F.lit(f)) for f in fields])
+    every.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id").write.parquet(f"{path}/postings")
+    lengths = [rows.select(F.lit(f).alias("field"), F.size(tokens(F.col(f))).alias("dl")) for f in fields]
+    reduce(DataFrame.unionByName, lengths).groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/figures")
+
+
+def search_index(spark: SparkSession, path: str, terms: Sequence[str], fields: dict[str, float]) -> DataFrame:
+    """id, bm25 of what has a term, from a written index."""
+    wanted = [t.lower() for t in terms]
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(wanted) & F.col("field").isin(list(fields)))
+    boosts = spark.createDataFrame(list(fields.items()), "field string, boost double")
+    known = hits.groupBy("field", "term").agg(F.count("*").alias("df")).join(spark.read.parquet(f"{path}/figures"), "field").join(boosts, "field")
+    norm = K1 * (1 - B + B * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    scored = hits.join(F.broadcast(known), ["field", "term"])  # a row for each term and field of the query
+    return scored.groupBy("id").agg(F.sum(F.col("boost") * idf * F.col("tf") / (F.col("tf") + norm)).alias("bm25"))
+
+
 def bm25(rows: DataFrame, terms: Sequence[str], fields: dict[str, float], where: Column | None = None) -> DataFrame:
-    """``rows`` that have a term, with ``bm25``; the corpus figures count all rows."""
+    """``rows`` that have a term, without the text fields, with ``bm25``; the corpus figures count all rows.
+
+    The texts are read once: counts and lengths are written, and read for figures and scores.
+    """
     terms = [t.lower() for t in terms]
     made = rows
     for f in fields:
-        made = made.withColumn(f"_w_{f}", tokens(F.col(f)))
-        made = made.withColumns({f"_dl_{f}": F.size(f"_w_{f}"), f"_tf_{f}": _counts(f"_w_{f}", terms)}).drop(f"_w_{f}")
+        made = made.withColumn(f"_t_{f}", _spaced(F.col(f)))
+        made = made.withColumns({f"_dl_{f}": _length(F.col(f"_t_{f}")), f"_tf_{f}": F.array(*[_times(F.col(f"_t_{f}"), t) for t in terms])}).drop(f"_t_{f}")
+    made = made.drop(*fields)
     if not terms:
-        return made.withColumn("bm25", F.lit(0.0)).where(F.lit(False))
+        return made.withColumn("bm25", F.lit(0.0)).where(F.lit(False)).drop(*[f"_{k}_{f}" for f in fields for k in ("dl", "tf")])
+    made = written(made, "term-counts")
     figures = [F.count("*").alias("n")]
     for f in fields:
         figures.append(F.avg(f"_dl_{f}").alias(f"avg_{f}"))
@@ -55,12 +85,20 @@ def bm25(rows: DataFrame, terms: Sequence[str], fields: dict[str, float], where:
     return scored.where(where) if where is not None else scored
 
 
-def _counts(words: str, terms: Sequence[str]) -> Column:
-    return F.array(*[F.size(F.filter(F.col(words), _is(t))) for t in terms])
+def _spaced(text: Column) -> Column:
+    """The words of a text in lower case, a space between them; the same words as ``tokens``."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def _length(spaced: Column) -> Column:
+    return F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1)
 
 
-def _is(term: str):
-    return lambda x: x == term
+def _times(spaced: Column, term: str) -> Column:
+    """How often the words have a term, each between two spaces of its own."""
+    apart = F.concat(F.lit(" "), F.replace(spaced, F.lit(" "), F.lit("  ")), F.lit(" "))
+    less = F.length(apart) - F.length(F.replace(apart, F.lit(f" {term} "), F.lit("")))
+    return F.floor(less / (len(term) + 2)).cast("int") if term else F.lit(0)
 
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:

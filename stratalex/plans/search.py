@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratalex.operators import context, retrieval
 from stratalex.plans.catalogue import CHUNKS, query
+from stratalex.sources.scratch import scratch_path, written
 from stratalex.sources.tables import chunks, table
 
 TERMS = ["that", "onen", "ered"]
@@ -41,6 +42,14 @@ def bm25_topk(spark, sf):
     return retrieval.bm25(chunks(spark, sf), TERMS, {"content": 1.0}).orderBy(F.desc("bm25"), "chunk_id").limit(100).select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
+@query("bm25_indexed", _TWO + " SELECT chunk_id, round(bm25, 6) AS bm25 FROM b ORDER BY b.bm25 DESC, chunk_id LIMIT 100")
+def bm25_indexed(spark, sf):
+    path = scratch_path(spark, "index")
+    retrieval.write_index(chunks(spark, sf), "chunk_id", ["content", "chapter_title"], path)
+    found = retrieval.search_index(spark, path, TERMS, {"content": 1.0, "chapter_title": 2.0})
+    return found.orderBy(F.desc("bm25"), "id").limit(100).select(F.col("id").alias("chunk_id"), F.round("bm25", 6).alias("bm25"))
+
+
 @query("bm25_two_field", _TWO + " SELECT chunk_id, round(bm25, 6) AS bm25 FROM b")
 def bm25_two_field(spark, sf):
     return retrieval.bm25(chunks(spark, sf), TERMS, {"content": 1.0, "chapter_title": 2.0}).select("chunk_id", F.round("bm25", 6).alias("bm25"))
@@ -128,7 +137,7 @@ e AS (SELECT chunk_id, score, a FROM (SELECT *, row_number() OVER (PARTITION BY
 
 def _expanded(spark, sf):
     c = chunks(spark, sf)
-    found = _search(spark, sf)
+    found = written(_search(spark, sf), "results")  # at most 20 rows, used three times
     anchors = found.join(c.select("chunk_id", "start_char"), "chunk_id").select(F.col("chunk_id").alias("anchor_id"), "source_file", "start_char")
     return context.expand(found, context.neighbours(c, anchors), 5)
 
