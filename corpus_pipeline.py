@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the rows it keeps with the columns of
 ``documents``; the last returns the packed pieces.  ``run`` applies them to ``documents``
-one after another, each on the whole table that its predecessor wrote.
+one after another, each on the whole table that its predecessor wrote; these tables go at the end.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalex.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
-from stratalex.llm.common import table, written
+from stratalex.llm.common import Scratch, table, written
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
 
@@ -49,6 +49,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark, "pipeline") as scratch:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.written(stage(spark, docs, sf_dir), name)
+        return written(STAGES[-1][1](spark, docs, sf_dir), "packed")
