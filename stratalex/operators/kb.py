@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalex.functions import text as T
+from stratalex.functions.embedding import embed_local
 from stratalex.operators.order import with_sum_before
 
 
@@ -67,9 +68,10 @@ def formula_stats(rows: DataFrame) -> DataFrame:
 
 
 def restandardise(rows: DataFrame) -> DataFrame:
-    """Rewrites formulas; what depends on the content is made anew from it."""
+    """Rewrites formulas; what depends on the content, a vector too, is made anew from it."""
     new = rows.withColumn("_old", F.col("content")).withColumn("content", T.wrap_latex("content"))
-    return new.withColumns({"changed": ~F.col("content").eqNullSafe(F.col("_old")), "content_hash": T.content_hash(F.col("content")), "formula_count": T.formula_blocks(F.col("content"))}).drop("_old")
+    new = new.withColumns({"changed": ~F.col("content").eqNullSafe(F.col("_old")), "content_hash": T.content_hash(F.col("content")), "formula_count": T.formula_blocks(F.col("content"))}).drop("_old")
+    return new.withColumn("embedding", embed_local("content")) if "embedding" in rows.columns else new
 
 
 def restandardise_report(rows: DataFrame) -> DataFrame:

@@ -56,6 +56,16 @@ _LINE = """CASE WHEN event_id % 17 = 0 THEN ': ping' WHEN event_id % 19 = 0 THEN
  ELSE concat('data: {"choices":[{"delta":{"content":"', event_type, '"}}]}') END"""
 
 
+@query("sse_final", f"""WITH l AS (SELECT user_id AS stream_id, event_id AS seq, {_LINE} AS line FROM events),
+d AS (SELECT stream_id, seq, trim(substr(line, 7)) AS d FROM l WHERE line LIKE 'data: %'),
+live AS (SELECT d.* FROM d LEFT JOIN (SELECT stream_id, min(seq) AS e FROM d WHERE d = '[DONE]' GROUP BY 1) x USING (stream_id) WHERE e IS NULL OR seq < e),
+p AS (SELECT stream_id, seq, 'reasoning' AS type, CASE WHEN json_valid(d) THEN json_extract_string(d, '$.choices[0].delta.reasoning_content') END AS piece FROM live
+  UNION ALL SELECT stream_id, seq, 'chunk', CASE WHEN json_valid(d) THEN json_extract_string(d, '$.choices[0].delta.content') END FROM live)
+SELECT stream_id, type, string_agg(piece, '' ORDER BY seq) AS "full" FROM p WHERE piece <> '' GROUP BY stream_id, type""")
+def sse_final(spark, sf):
+    return events.final_texts(table(spark, sf, "events").selectExpr("user_id AS stream_id", "event_id AS seq", f"{_LINE} AS line"))
+
+
 @query("sse_parse", f"""WITH l AS (SELECT user_id AS stream_id, event_id AS seq, {_LINE} AS line FROM events),
 d AS (SELECT stream_id, seq, trim(substr(line, 7)) AS d FROM l WHERE line LIKE 'data: %'),
 live AS (SELECT d.* FROM d LEFT JOIN (SELECT stream_id, min(seq) AS e FROM d WHERE d = '[DONE]' GROUP BY 1) x USING (stream_id) WHERE e IS NULL OR seq < e),

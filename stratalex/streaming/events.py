@@ -19,17 +19,29 @@ def delta(data: Column, field: str) -> Column:
     return F.nullif(F.get_json_object(data, f"$.choices[0].delta.{field}"), F.lit(""))
 
 
-def assemble(lines: DataFrame) -> DataFrame:
-    """stream_id, seq, type, piece, full: the events of each stream up to [DONE].
-
-    ``full`` is the text so far of its own kind; reasoning comes before content of a line.
-    """
+def pieces(lines: DataFrame) -> DataFrame:
+    """stream_id, seq, k, type, piece: the events of each stream up to [DONE]; reasoning comes before content of a line."""
     data = lines.select("stream_id", "seq", payload(F.col("line")).alias("d")).where("d IS NOT NULL")
     ended = data.where("d = '[DONE]'").groupBy("stream_id").agg(F.min("seq").alias("end"))
     live = data.join(ended, "stream_id", "left").where("end IS NULL OR seq < end")
     parts = live.select("stream_id", "seq", F.posexplode(F.array(delta(F.col("d"), "reasoning_content"), delta(F.col("d"), "content"))).alias("k", "piece")).where("piece IS NOT NULL")
-    so_far = Window.partitionBy("stream_id", "k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return parts.select("stream_id", "seq", F.when(F.col("k") == 0, "reasoning").otherwise("chunk").alias("type"), "piece", F.array_join(F.collect_list("piece").over(so_far), "").alias("full"))
+    return parts.withColumn("type", F.when(F.col("k") == 0, "reasoning").otherwise("chunk"))
+
+
+def final_texts(lines: DataFrame) -> DataFrame:
+    """stream_id, type, full: the whole text of each kind, once for a stream; its size is the input's."""
+    told = pieces(lines).groupBy("stream_id", "type").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("p"))
+    return told.select("stream_id", "type", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("full"))
+
+
+def assemble(lines: DataFrame) -> DataFrame:
+    """stream_id, seq, type, piece, full: each event with the text so far of its own kind.
+
+    That is what a client is sent; its size grows with the square of a stream.  For the
+    text alone take :func:`final_texts`.
+    """
+    so_far = Window.partitionBy("stream_id", "type").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return pieces(lines).select("stream_id", "seq", "type", "piece", F.array_join(F.collect_list("piece").over(so_far), "").alias("full"))
 
 
 def distinct_stream(rows: DataFrame, content: str) -> DataFrame:
