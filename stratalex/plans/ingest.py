@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalex.functions import text as T
+from stratalex.functions import urls
 from stratalex.operators import history, ingest, web
 from stratalex.plans.catalogue import query
 from stratalex.plans.search import _TOP, _search
 from stratalex.plans.web import _EDGES, _edges
 from stratalex.sources.scratch import scratch_path
-from stratalex.sources.tables import table
+from stratalex.sources.tables import PRESETS, files, table
 
 _STRIPPED = "trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;[^&]*?&gt;', '', 'g'))"
 
@@ -89,6 +90,23 @@ def upload_names(spark, sf):
     return ingest.upload_names(u, spark.createDataFrame([("a_b_3_.PDF",)], "name string"))
 
 
+@query("file_listing")
+def file_listing(spark, sf):
+    return files(spark, sf, ".parquet").select("name", "size", F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modified"))
+
+
+@query("disk_usage")
+def disk_usage(spark, sf):
+    return files(spark, sf, ".parquet").agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+
+
+@query("preset_pages", """SELECT page_id, s.name FROM pages, (VALUES ('初中数学（通用）', 'math'), ('高中数学（通用）', 'math'), ('K12 全面爬取', 'math')) s(name, word) WHERE contains(lower(url || '/math' || page_id % 3), word || '1')""")
+def preset_pages(spark, sf):
+    url = F.concat("url", F.lit("/math"), (F.col("page_id") % 3).cast("string"))
+    fits = F.array(*[F.when(urls.in_paths(url, [f"{w}1" for w in words]), name) for name, _, _, words in PRESETS])
+    return table(spark, sf, "pages").select("page_id", F.explode(F.array_compact(fits)).alias("name"))
+
+
 @query("timestamp_format", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events")
 def timestamp_format(spark, sf):
     return table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))

@@ -12,6 +12,20 @@ STAGES = [("primary", 1, 0.1, "小学"), ("junior", 2, 0.15, "初中"), ("senior
 PROVIDERS = ["deepseek", "kimi", "qwen", "zhipu", "minimax", "mimo"]
 
 
+# Crawl presets with their stage and the words of paths that they follow.
+PRESETS = [
+    ("初中数学（通用）", "适合大多数数学学习网站的初中内容", "junior", "math 数学 代数 几何 函数 方程 三角形 圆 概率 统计 初中".split()),
+    ("高中数学（通用）", "适合大多数数学学习网站的高中内容", "senior", "math 数学 函数 导数 圆锥曲线 数列 向量 立体几何 概率 高中 高考".split()),
+    ("大学数学", "大学数学拓展内容", "university", "微积分 线性代数 概率论 数理统计 离散数学 数学分析 高等数学 微分方程".split()),
+    ("小学奥数", "小学及奥数入门内容", "primary", "数学 奥数 小学 口算 应用题 几何图形 分数 小数".split()),
+    ("K12 全面爬取", "自动检测学段，覆盖面最广（需要较大 maxPages）", "auto", "math 数学 代数 几何 函数 微积分 奥数 高考 中考 小学".split()),
+]
+
+
+def presets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PRESETS, "name string, description string, stage string, path_words array<string>")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
