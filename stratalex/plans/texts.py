@@ -160,12 +160,40 @@ def _chunked(spark, sf):
     return chunking.chunk(d.select(F.col("doc_id").cast("string").alias("source"), t.alias("text")), "source", "text")
 
 
-@query("chunk_pack")
+# sections and chunks as folds over the parts of a text
+_CHUNKED = r"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS source_file, regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '(?m)^([A-Z][A-Za-z0-9_]{4}\b)', 'Chapter 3 \1', 'g') AS t FROM documents),
+p AS (SELECT source_file, string_split(regexp_replace(coalesce(t, ''), '(?m)^((?:第[一二三四五六七八九十\d]+[章节]|Chapter\s*\d+|§\d+)\s*.*)$', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM d),
+e AS (SELECT source_file, list_prepend(p[1], list_transform(range(1, greatest(1, list_max(list_prepend(1, list_transform(range(1, (len(p) + 1) // 2 + 1), lambda i: CASE WHEN p[2 * i - 1] <> '' THEN i ELSE 1 END))))), lambda i: p[2 * i] || chr(10) || p[2 * i + 1])) AS e FROM p),
+f AS (SELECT source_file, list_reduce(list_prepend({'done': CAST([] AS VARCHAR[]), 'cur': ''}, list_transform(e, lambda x: {'done': CAST([] AS VARCHAR[]), 'cur': x})),
+  lambda a, x: CASE WHEN length(a.cur || x.cur) >= 1200 THEN {'done': list_append(a.done, a.cur || x.cur), 'cur': ''} ELSE {'done': a.done, 'cur': a.cur || x.cur} END) AS f FROM e),
+s AS (SELECT source_file, i, regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS section FROM (
+  SELECT source_file, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM (SELECT source_file, CASE WHEN f.cur <> '' OR len(f.done) = 0 THEN list_append(f.done, f.cur) ELSE f.done END AS l FROM f))),
+m AS (SELECT source_file, i, section, regexp_extract_all(section, '\$\$[\s\S]*?\$\$') AS formulas, string_split(regexp_replace(section, '\$\$[\s\S]*?\$\$', chr(2), 'g'), chr(2)) AS b FROM s),
+q AS (SELECT source_file, i, section, formulas, list_filter(list_transform(string_split(list_reduce(list_transform(range(1, len(b) + 1), lambda k: CASE WHEN k = 1 THEN b[k] ELSE '%%FORMULA_' || (k - 2) || '%%' || b[k] END), lambda x, y: x || y), chr(10) || chr(10)),
+  lambda x: regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), lambda x: x <> '') AS paras FROM m),
+k AS (SELECT source_file, i, section, formulas, list_reduce(list_prepend({'done': CAST([] AS VARCHAR[]), 'cur': ''}, list_transform(paras, lambda x: {'done': CAST([] AS VARCHAR[]), 'cur': x})),
+  lambda a, x: CASE WHEN a.cur <> '' AND length(a.cur) + length(x.cur) > 600 THEN {'done': list_append(a.done, a.cur), 'cur': x.cur}
+    ELSE {'done': a.done, 'cur': CASE WHEN a.cur <> '' THEN a.cur || chr(10) || chr(10) || x.cur ELSE x.cur END} END) AS k FROM q),
+c AS (SELECT source_file, i, section, unnest(l) AS c, unnest(range(1, len(l) + 1)) AS j, len(l) AS n, formulas FROM (
+  SELECT source_file, i, section, formulas, CASE WHEN k.cur <> '' THEN list_append(k.done, k.cur) ELSE CASE WHEN len(k.done) > 0 THEN k.done ELSE [section] END END AS l FROM k)),
+w AS (SELECT source_file, i, j, n, section, regexp_replace(list_reduce(list_prepend(c, list_transform(range(1, len(formulas) + 1), lambda z: '%%FORMULA_' || (z - 1) || '%%' || chr(3) || formulas[z])), lambda a, x: replace(a, string_split(x, chr(3))[1], string_split(x, chr(3))[2])), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS content FROM c),
+kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_file ORDER BY i, j) - 1 AS INTEGER) AS ordinal FROM w WHERE length(content) >= 20)"""
+_OFFSETS = r""",
+base AS (SELECT source_file, i, CAST(coalesce(sum(length(section) + 2) OVER (PARTITION BY source_file ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM s),
+o AS (SELECT source_file, i, list(ordinal ORDER BY j) AS ordinals, list_reduce(list_prepend({'off': [CAST(0 AS BIGINT)], 'len': CAST(0 AS BIGINT), 'last': false}, list({'off': CAST([] AS BIGINT[]), 'len': CAST(length(content) AS BIGINT), 'last': j = n} ORDER BY j)),
+  lambda a, x: {'off': list_append(a.off, CASE WHEN x.last THEN a.off[-1] + greatest(0, x.len - 100) ELSE least(a.off[-1] + greatest(0, x.len - 100), x.len) END), 'len': x.len, 'last': x.last}) AS o FROM kept GROUP BY source_file, i),
+x AS (SELECT source_file, i, unnest(ordinals) AS ordinal, unnest(o.off[:-2]) AS off FROM o)
+SELECT x.source_file, x.ordinal, CAST(base + off AS INTEGER) AS start_char, CAST(base + off + length(content) AS INTEGER) AS end_char
+FROM x JOIN base USING (source_file, i) JOIN kept ON kept.source_file = x.source_file AND kept.ordinal = x.ordinal"""
+
+
+@query("chunk_pack", _CHUNKED + " SELECT source_file, ordinal, content, substr(sha256(source_file || '|' || ordinal || '|' || content), 1, 16) AS chunk_id FROM kept")
 def chunk_pack(spark, sf):
     return _chunked(spark, sf).select("source_file", "ordinal", "content", "chunk_id")
 
 
-@query("chunk_offsets")
+@query("chunk_offsets", _CHUNKED + _OFFSETS)
 def chunk_offsets(spark, sf):
     return _chunked(spark, sf).select("source_file", "ordinal", "start_char", "end_char")
 
