@@ -162,7 +162,7 @@ def _chunked(spark, sf):
 
 # sections and chunks as folds over the parts of a text
 _CHUNKED = r"""
-WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS source_file, regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '(?m)^([A-Z][A-Za-z0-9_]{4}\b)', 'Chapter 3 \1', 'g') AS t FROM documents),
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS source_file, regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '(?m)^([A-Z][A-Za-z0-9_]{4})([^\p{L}\p{N}\p{Mn}_]|$)', 'Chapter 3 \1\2', 'g') AS t FROM documents),
 p AS (SELECT source_file, string_split(regexp_replace(coalesce(t, ''), '(?m)^((?:第[一二三四五六七八九十\d]+[章节]|Chapter\s*\d+|§\d+)\s*.*)$', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS p FROM d),
 e AS (SELECT source_file, list_prepend(p[1], list_transform(range(1, greatest(1, list_max(list_prepend(1, list_transform(range(1, (len(p) + 1) // 2 + 1), lambda i: CASE WHEN p[2 * i - 1] <> '' THEN i ELSE 1 END))))), lambda i: p[2 * i] || chr(10) || p[2 * i + 1])) AS e FROM p),
 f AS (SELECT source_file, list_reduce(list_prepend({'done': CAST([] AS VARCHAR[]), 'cur': ''}, list_transform(e, lambda x: {'done': CAST([] AS VARCHAR[]), 'cur': x})),
