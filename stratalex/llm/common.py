@@ -34,11 +34,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def row_key(id_col: str, text: Column) -> Column:
-    """Tells rows apart that repeat an id with another text; equal rows share it."""
-    return F.struct(F.col(id_col), F.xxhash64(text))
-
-
 # -- hashing of words in whole batches, on the UTF-8 bytes -------------------------------
 
 _U = np.uint64
