@@ -84,15 +84,15 @@ def clean_page(raw: Column, watermark: str = "ISBN|版权所有|翻印|侵权必
     at the end of the page are no lines.  Null is an empty page.
     """
     text = F.regexp_replace(F.coalesce(raw, F.lit("")), "\n+$", "")
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
-    n = F.size(lines)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit("".join(map(chr, range(33))))))
 
-    def keep(x: Column, i: Column) -> Column:
+    def keep(x: Column, i: Column, n: Column) -> Column:
         header = (i < n * 0.08) & (F.length(x) < 30) & ~F.contains(x, F.lit(".")) & ~F.rlike(x, F.lit("第.*[章节]$"))
         footer = (i > n * 0.92) & (F.length(x) < 30) & ~F.rlike(x, F.lit(r"\d.*[解证明答]$"))
         return (x != "") & ~F.rlike(x, F.lit(r"^\d{1,4}$")) & ~header & ~footer & ~F.rlike(x, F.lit(watermark))
 
-    joined = F.array_join(F.filter(lines, keep), "\n")
+    once = F.transform(F.array(lines), lambda all_: F.filter(all_, lambda x, i: keep(x, i, F.size(all_))))  # the lines are split once
+    joined = F.array_join(F.get(once, 0), "\n")
     return F.regexp_replace(joined, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
 
 
