@@ -11,6 +11,9 @@ from pyspark.sql.types import StringType
 
 from stratalex.functions.lexicons import LATEX
 
+#: What a text is trimmed of: all characters up to the space.
+CONTROLS = "".join(map(chr, range(33)))
+
 BLOCK = r"\$\$[\s\S]*?\$\$"
 COMMAND = rf"(?i)(?<!\$)\\({LATEX})\b"
 
@@ -52,6 +55,18 @@ def wrap_formulas(text: str | None) -> str | None:
     return text and _WRAP.sub(put, text)
 
 
+# How formulas stand in pages.
+_IN_PAGES = [(r'<script[^>]*type="math/tex[^>]*>([\s\S]*?)</script>', "$$"), (r"<math[^>]*>([\s\S]*?)</math>", "$$"), (r"\\\(([\s\S]*?)\\\)", "$"), (r"\\\[([\s\S]*?)\\\]", "$$")]
+
+
+def page_formulas(text: str) -> str:
+    """MathJax scripts, <math> and backslash brackets to dollar signs, literally, then bare LaTeX; as ``normalise_formulas``."""
+    for pattern, mark in _IN_PAGES:
+        script = pattern.startswith("<script")
+        text = re.sub(pattern, lambda m: m[1].strip(CONTROLS) if script and m[1].strip(CONTROLS).startswith("$") else f"{mark}{m[1].strip(CONTROLS)}{mark}", text)  # noqa: B023
+    return wrap_formulas(text) or ""
+
+
 @F.pandas_udf(StringType())
 def wrap_latex(texts: pd.Series) -> pd.Series:
     return texts.map(wrap_formulas, na_action="ignore")
@@ -68,7 +83,8 @@ def normalise_formulas(html: Column) -> Column:
 
 
 def strip_tags(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), "&lt;[^&]*?&gt;", ""))
+    """Without tags, escaped ones too, and without white space around."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), "&lt;/?[a-zA-Z][^&]*&gt;", ""), F.lit(CONTROLS))
 
 
 def squeeze(text: Column) -> Column:
@@ -84,7 +100,7 @@ def clean_page(raw: Column, watermark: str = "ISBN|版权所有|翻印|侵权必
     at the end of the page are no lines.  Null is an empty page.
     """
     text = F.regexp_replace(F.coalesce(raw, F.lit("")), "\n+$", "")
-    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit("".join(map(chr, range(33))))))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(CONTROLS)))
 
     def keep(x: Column, i: Column, n: Column) -> Column:
         header = (i < n * 0.08) & (F.length(x) < 30) & ~F.contains(x, F.lit(".")) & ~F.rlike(x, F.lit("第.*[章节]$"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,17 +87,21 @@ def pieces(text: str | None) -> Iterator[tuple[int, str, str, int, int]]:
         base += len(section) + 2
 
 
-def chunk(docs: DataFrame, source: str, text: str, stage: str | None = None) -> DataFrame:
-    """Chunks of each document with ids, offsets and metadata; stage null is detected."""
+def chunk(docs: DataFrame, source: str, text: str, stage: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Chunks of each document with ids, offsets and metadata, and its columns ``keep``; stage null is detected."""
+    made = ["source_file", "ordinal", "chapter_title", "content", "start_char", "end_char"]
+    types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(s, *p) for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p in pieces(t)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["source_file", "ordinal", "chapter_title", "content", "start_char", "end_char"])
-
-    rows = docs.select(F.col(source).cast("string"), F.col(text)).mapInArrow(cut, "source_file string, ordinal int, chapter_title string, content string, start_char int, end_char int")
+            rows = [(i, s, *p) for i, (s, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)) for p in pieces(t)]
+            of, *columns = zip(*rows, strict=True) if rows else [[]] * 7
+            kept = [b.column(2 + i).take(pa.array(of, pa.int64())) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *kept], [*made, *keep])
+
+    rows = docs.select(F.col(source).cast("string"), F.col(text), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    rows = rows.mapInArrow(cut, f"source_file string, ordinal int, chapter_title string, content string, start_char int, end_char int{more}")
     c = F.col("content")
     rows = rows.withColumns({
         "chunk_id": F.substring(F.sha2(F.concat_ws("|", "source_file", F.col("ordinal").cast("string"), "content"), 256), 1, 16),

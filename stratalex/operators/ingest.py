@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalex.functions import embedding, enrich, urls
+from stratalex.functions import text as T
 from stratalex.operators import chunking, kb, web
 from stratalex.sources.scratch import written
 
@@ -24,34 +25,37 @@ def page_chunks(pages: DataFrame, least: int = LEAST_CRAWLED, stage: str | None
     """Chunks with vectors of the pages (page_id, url, html) that have enough text.
 
     A blank stage is told from the page's text; the source is ``crawl:`` and a name made
-    of the URL.
+    of the URL.  Of pages with equal texts the first is taken, so a page is in the store once.
     """
-    found = long_enough(web.extract(pages, columns=["text"]), least=least)
+    found = kb.keep_first(long_enough(web.extract(pages, columns=["text"]), least=least), "text", "page_id").drop("content_hash")
     told = F.lit(stage) if stage else enrich.page_stage(F.col("text"))
-    named = written(found.select("page_id", "url", F.concat(F.lit("crawl:"), urls.source_name(F.col("url"))).alias("source_name"), told.alias("stage"), "text"), "page-texts")
-    chunks = chunking.chunk(named.select(F.col("page_id").cast("string").alias("source"), "text"), "source", "text")
-    of = named.select(F.col("page_id").cast("string").alias("source_file"), "page_id", "url", "source_name", F.col("stage").alias("page_grade"))
-    return chunks.join(of, "source_file").withColumn("grade", F.col("page_grade")).drop("page_grade").withColumn("embedding", embedding.embed_local("content"))
+    named = found.select("page_id", "url", F.concat(F.lit("crawl:"), urls.source_name(F.col("url"))).alias("source_name"), told.alias("grade"), "text")
+    chunks = chunking.chunk(named, "source_name", "text", keep=["page_id", "url", "source_name", "grade"])
+    return written(chunks, "page-chunks").withColumn("embedding", embedding.embed_local("content"))
 
 
 def ingest_pages(store: DataFrame, pages: DataFrame, least: int = LEAST_CRAWLED) -> DataFrame:
-    """The store after the pages' chunks came in; of equal contents the newest stays."""
-    return kb.upsert(store, page_chunks(pages, least).select(*store.columns), "content", "chunk_id")
+    """The store after the pages' chunks came in; of equal contents the last of the last page stays."""
+    made = page_chunks(pages, least).withColumn("content_hash", T.content_hash(F.col("content")))
+    place = F.struct("page_id", "ordinal")
+    last = made.groupBy("content_hash").agg(F.max(place).alias("_last"))
+    new = made.join(last, (made["content_hash"] == last["content_hash"]) & (place == F.col("_last")), "left_semi").dropDuplicates(["content_hash"])
+    return kb.upsert(store, new.select(*store.columns), "content", "chunk_id")
 
 
 def follow(starts: DataFrame, redirects: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
     """url, final, hops, reason: where each URL leads, one join for each hop.
 
-    ``redirects``: src, status, location (null and relative locations too).  Every target is
-    checked again: one that must not be fetched ends the chain with its reason, and so does
-    a chain of more hops (``hops``).
+    ``redirects``: src, status, location (null and relative locations too; of several
+    locations of a URL the smallest counts).  Every target is checked again: one that must
+    not be fetched ends the chain with its reason, and so does a chain of more hops (``hops``).
     """
 
     @F.pandas_udf("string")
     def resolved(url: pd.Series, location: pd.Series) -> pd.Series:
         return pd.Series([web.resolve_redirect(u, x) for u, x in zip(url, location, strict=True)])
 
-    links = redirects.where(urls.is_redirect(F.col("status")) & F.col("location").isNotNull()).select(F.col("src").alias("final"), "location").distinct()
+    links = redirects.where(urls.is_redirect(F.col("status")) & F.col("location").isNotNull()).groupBy(F.col("src").alias("final")).agg(F.min("location").alias("location"))
     at = starts.select("url", F.col("url").alias("final"), F.lit(0).alias("hops"), urls.unsafe_reason(F.col("url")).alias("reason"))
     done = []
     for n in range(1, hops + 2):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stratalex.functions import text as T
 from stratalex.functions.embedding import embed_local
 from stratalex.operators.order import with_sum_before
+from stratalex.sources.scratch import Scratch
 
 
 def keep_first(rows: DataFrame, content: str, order: str) -> DataFrame:
@@ -29,6 +31,46 @@ def upsert(old: DataFrame, new: DataFrame, content: str, order: str) -> DataFram
     return both.join(best, ["content_hash", "_new", order], "left_semi").drop("_new")
 
 
+def _by_prefix(rows: DataFrame, digits: int) -> DataFrame:
+    """In order of the hash, so that a partition of any size is written by as many tasks as it needs."""
+    return rows.withColumn("prefix", F.substring("content_hash", 1, digits)).repartitionByRange("prefix", "content_hash")
+
+
+def write_store(rows: DataFrame, content: str, path: str, digits: int = 2) -> None:
+    """Stores rows, of which each content is there once, by the first hexadecimal digits of their content's hash."""
+    _by_prefix(rows.withColumn("content_hash", T.content_hash(F.col(content))), digits).write.partitionBy("prefix").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).schema(_store_schema(spark, path)).parquet(path)
+
+
+def _store_schema(spark: SparkSession, path: str) -> StructType:
+    """The prefix is text, though it may look like a number."""
+    fields = [f for f in spark.read.parquet(path).schema if f.name != "prefix"]
+    return StructType([*fields, StructField("prefix", StringType())])
+
+
+def merge_into(path: str, new: DataFrame, content: str, order: str) -> list[str]:
+    """Upserts into a written store and returns the prefixes it wrote; the others' files are neither read nor written.
+
+    The same result as ``upsert`` of the whole store.  Running it again with the same rows
+    changes nothing, so a run that broke off is repeated.
+    """
+    spark = new.sparkSession
+    old = read_store(spark, path)
+    digits = len(old.select("prefix").first()["prefix"] if not old.isEmpty() else "00")
+    with Scratch(spark, "merge") as scratch:
+        new = scratch.written(new.select(*[c for c in old.columns if c not in ("content_hash", "prefix")]), "new")
+        met = new.select(F.substring(T.content_hash(F.col(content)), 1, digits).alias("prefix")).distinct()
+        touched = sorted(r["prefix"] for r in met.collect())  # 16 ** digits at most
+        if touched:
+            kept = old.where(F.col("prefix").isin(touched)).drop("content_hash", "prefix")
+            merged = scratch.written(_by_prefix(upsert(kept, new, content, order), digits), "merged")
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(path)
+    return touched
+
+
 def char_delta(old: DataFrame, new: DataFrame, content: str) -> DataFrame:
     """Characters that new distinct contents add to the store: one row."""
     h = lambda d: d.select(T.content_hash(F.col(content)).alias("h"), F.length(content).alias("n")).dropDuplicates(["h"])

@@ -15,20 +15,21 @@ from pyspark.sql import functions as F
 
 from stratalex.functions import enrich
 from stratalex.functions import text as T
+from stratalex.functions.segment import HAN, tokens
 from stratalex.sources.scratch import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
 BM25_TOP, KNN_TOP = 100, 200
 
 
-def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower-case."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+def words_of(rows: DataFrame, field: str) -> Column:
+    """The terms of a field: those of its text, or the list itself where a segmenter has cut it."""
+    return F.col(field) if rows.schema[field].dataType.typeName() == "array" else tokens(F.col(field))
 
 
 def postings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """term, id, tf, dl: the inverted index as a table, for many queries at once."""
-    words = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    words = rows.select(F.col(id_col).alias("id"), words_of(rows, text_col).alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     return words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -39,7 +40,7 @@ def write_index(rows: DataFrame, id_col: str, fields: Sequence[str], path: str)
     """
     every = reduce(DataFrame.unionByName, [postings(rows, id_col, f).withColumn("field", F.lit(f)) for f in fields])
     every.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id").write.parquet(f"{path}/postings")
-    lengths = [rows.select(F.lit(f).alias("field"), F.size(tokens(F.col(f))).alias("dl")) for f in fields]
+    lengths = [rows.select(F.lit(f).alias("field"), F.size(words_of(rows, f)).alias("dl")) for f in fields]
     reduce(DataFrame.unionByName, lengths).groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/figures")
 
 
@@ -87,7 +88,8 @@ def bm25(rows: DataFrame, terms: Sequence[str], fields: dict[str, float], where:
 
 def _spaced(text: Column) -> Column:
     """The words of a text in lower case, a space between them; the same words as ``tokens``."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return F.when(F.coalesce(F.rlike(text, F.lit(HAN)), F.lit(False)), F.array_join(tokens(text), " ")).otherwise(plain)
 
 
 def _length(spaced: Column) -> Column:
@@ -129,15 +131,18 @@ def fuse(text_list: DataFrame, vector_list: DataFrame, id_col: str = "id") -> Da
     return both.groupBy(id_col).agg((F.sum(1.0 / (RRF_K + F.col("rank"))) / (slots / (RRF_K + 1))).alias("rrf"), F.min("seen").alias("first_seen"))
 
 
-def search(chunks: DataFrame, vectors: DataFrame, terms: Sequence[str], query: Sequence[float], stage: str | None, extend: bool = False, k: int = 5, prefilter: bool = False) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, terms: Sequence[str], query: Sequence[float], stage: str | None, extend: bool = False, k: int = 5, prefilter: bool = False, by_text: DataFrame | None = None) -> DataFrame:
     """The k best chunks: both lists, fused and cut, then weighted by grade and chunk.
 
+    ``by_text`` is the text list (id, bm25) where an index has given it; else the chunks are read for it.
+
     The stage filter narrows the text list before it is cut and the vector list after
     (``prefilter`` moves it ahead); weights don't change the order.
     """
     chosen = enrich.in_stage(F.col("grade"), stage, extend)
-    by_text = bm25(chunks, terms, {"content": 1.0, "chapter_title": 2.0}, chosen).orderBy(F.desc("bm25"), "chunk_id").limit(BM25_TOP)
-    by_text = ranked(by_text.select(F.col("chunk_id").alias("id"), "bm25"), "bm25", "id")
+    if by_text is None:
+        by_text = bm25(chunks, terms, {"content": 1.0, "chapter_title": 2.0}, chosen).select(F.col("chunk_id").alias("id"), "bm25").orderBy(F.desc("bm25"), "id").limit(BM25_TOP)
+    by_text = ranked(by_text, "bm25", "id")
     pool = vectors.join(chunks.where(chosen).select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi") if prefilter else vectors
     near = knn(pool, query).select(F.col("vec_id").alias("id"), "cos")
     if not prefilter:

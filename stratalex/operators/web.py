@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin
 
@@ -13,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalex.functions import urls
-from stratalex.functions.text import wrap_formulas
-from stratalex.sources.scratch import written
+from stratalex.functions.text import page_formulas
+from stratalex.operators.order import with_sum_before
+from stratalex.sources.scratch import Scratch, written
 
 # What is removed, and where the main text is looked for.
 DROP_TAGS = {"script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"}
@@ -24,6 +26,8 @@ MAIN_CLASSES = {"content", "post-content", "post-body", "entry-content", "articl
 MAIN_IDS = {"content", "main", "article"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 LONGEST = 50_000
+# Fixed value: what stands at the end of a text that was cut.
+CUT = "\n\n... [内容过长已截断]"
 
 
 class Node:
@@ -159,8 +163,8 @@ def _text(root: Node) -> str:
     out = [f"# {title.text().strip()}\n\n"] if title is not None and title.text().strip() else []
     _render(next(body.find(main), body), out)
     text = re.sub("\n{4,}", "\n\n\n", "".join(out))
-    text = wrap_formulas(re.sub("[ \t]{2,}", " ", text))
-    return (text[:LONGEST] + "\n\n...[truncated]" if len(text) > LONGEST else text).strip()
+    text = page_formulas(re.sub("[ \t]{2,}", " ", text))
+    return (text[:LONGEST] + CUT if len(text) > LONGEST else text).strip()
 
 
 def _links(root: Node, url: str | None) -> list[str]:
@@ -233,3 +237,62 @@ def bfs(edges: DataFrame, seeds: Sequence[str], depth: int = 2, words: Sequence[
         frontier = written(new, "frontier")
         seen = seen.unionByName(frontier)
     return seen if most is None else seen.orderBy("depth", "url").limit(most)
+
+
+def first_pages(extracted: DataFrame) -> DataFrame:
+    """url, text, links: of pages (page_id, url, text, links) with one normal URL the first."""
+    known = extracted.select("page_id", urls.normalise(F.col("url")).alias("url"), "text", "links").where("url IS NOT NULL")
+    first = known.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return known.join(first, ["url", "page_id"], "left_semi").dropDuplicates(["url"]).drop("page_id")
+
+
+def crawl(pages: DataFrame, seeds: Sequence[str], most: int, depth: int = 2, words: Sequence[str] = (), domains: Sequence[str] | None = None, least: int = 200) -> DataFrame:
+    """url, depth, place, status of each page that a breadth-first queue hands out until ``most`` pages are indexed.
+
+    ``pages``: url (in normal form, each once), text, links in page order.  A page is indexed
+    if its text has ``least`` characters and is not that of a page before it; else it is
+    short or duplicate, or outside (no domain of the list, by default the seeds' hosts), or
+    failed (not among the pages).  Links count once, at their first place, and must fit
+    ``words``; those of short and duplicate pages are followed too.
+
+    The queue is kept level by level, in order of (the parent's place, the link's place), so
+    it is that of one worker, and each level is a join.  A level is written, so a lost
+    executor costs no more than that.
+    """
+    spark = pages.sparkSession
+    start = spark.createDataFrame([(i, s) for i, s in enumerate(seeds)], "seq long, url string").select("seq", urls.normalise(F.col("url")).alias("url"))
+    queue = start.where("url IS NOT NULL").groupBy("url").agg(F.min("seq").alias("seq"))
+    if domains is None:
+        domains = sorted({r["h"] for r in queue.select(urls.host(F.col("url")).alias("h")).collect()})  # a few seeds
+    facts = pages.select("url", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), "links")
+    known, texts, out, indexed = queue.select("url"), None, [], 0
+    with Scratch(spark, "crawl") as scratch:
+        facts = scratch.written(facts, "facts")  # no texts, so a level reads lengths, hashes and links
+        for level in range(depth + 1):
+            inside = urls.in_domains(F.col("url"), domains)
+            met = scratch.written(queue.join(facts, "url", "left").withColumn("inside", inside), "level")
+            fit = met.where(F.col("inside") & (F.col("n") >= least)).groupBy("hash").agg(F.min("seq").alias("seq"))
+            fit = fit if texts is None else fit.join(texts, "hash", "left_anti")
+            fit = scratch.written(fit, "indexed")
+            status = F.when(~F.col("inside"), "outside").when(F.col("n").isNull(), "failed").when(F.col("_first"), "indexed").when(F.col("n") < least, "short").otherwise("duplicate")
+            told = met.join(fit.select("seq", F.lit(True).alias("_first")), "seq", "left").select("url", F.lit(level).alias("depth"), "seq", status.alias("status"))
+            found = fit.count()
+            if indexed + found >= most:
+                last = fit.orderBy("seq").limit(most - indexed).agg(F.max("seq")).first()[0]  # at most ``most`` rows
+                out.append(told.where(F.col("seq") <= F.lit(-1 if last is None else last)))
+                break
+            out.append(told)
+            indexed += found
+            texts = fit.select("hash") if texts is None else scratch.written(texts.unionByName(fit.select("hash")), "texts")
+            if level == depth:
+                break
+            ahead = met.where(F.col("inside") & F.col("n").isNotNull()).select("seq", F.posexplode("links").alias("place", "link"))
+            ahead = ahead.select(F.struct("seq", "place").alias("at"), urls.normalise(F.col("link")).alias("url")).where(F.col("url").isNotNull() & urls.in_paths(F.col("url"), words))
+            new = ahead.groupBy("url").agg(F.min("at").alias("at")).join(known, "url", "left_anti")
+            queue = scratch.written(new.repartitionByRange("at").sortWithinPartitions("at").select("url", F.monotonically_increasing_id().alias("seq")), "queue")
+            if queue.isEmpty():
+                break
+            known = known.unionByName(queue.select("url"))
+        told = scratch.written(reduce(DataFrame.unionByName, out), "told")
+        placed = with_sum_before(told, "depth", ["seq"], F.lit(1), "place")
+        return written(placed.select("url", "depth", "place", "status"), "crawl")

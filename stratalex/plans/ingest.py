@@ -13,7 +13,7 @@ from stratalex.plans.web import _EDGES, _edges
 from stratalex.sources.scratch import scratch_path
 from stratalex.sources.tables import PRESETS, files, table
 
-_STRIPPED = "trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;[^&]*?&gt;', '', 'g'))"
+_STRIPPED = "trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;/?[a-zA-Z][^&]*&gt;', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
 @query("page_gate", f"SELECT page_id, length({_STRIPPED}) AS n FROM pages WHERE length({_STRIPPED}) >= 1500")

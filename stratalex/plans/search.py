@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalex.operators import context, retrieval
+from stratalex.functions import enrich, segment
+from stratalex.operators import block_index, context, question, retrieval, vector_index
 from stratalex.plans.catalogue import CHUNKS, query
-from stratalex.sources.scratch import scratch_path, written
+from stratalex.plans.texts import EMBED
+from stratalex.sources.scratch import scratch_path, stored
 from stratalex.sources.tables import chunks, table
 
 TERMS = ["that", "onen", "ered"]
@@ -50,6 +52,27 @@ def bm25_indexed(spark, sf):
     return found.orderBy(F.desc("bm25"), "id").limit(100).select(F.col("id").alias("chunk_id"), F.round("bm25", 6).alias("bm25"))
 
 
+FIELDS = {"content": 1.0, "chapter_title": 2.0}
+
+
+def text_index(spark, sf) -> str:
+    """The stored block index of the chunks, built once for the same files."""
+    c = chunks(spark, sf)
+    return stored(c, "text-index", lambda path: block_index.write(c, "chunk_id", list(FIELDS), path, ["grade"]))
+
+
+@query("text_index_figures", W + f""" SELECT field, count(*) AS n, round(avg(dl), 6) AS average FROM (
+  SELECT 'content' AS field, len({_TOKENS.format('content')}) AS dl FROM chunks UNION ALL SELECT 'chapter_title', len({_TOKENS.format('chapter_title')}) FROM chunks) GROUP BY field""")
+def text_index_figures(spark, sf):
+    return spark.read.parquet(f"{text_index(spark, sf)}/figures").select("field", "n", F.round("average", 6).alias("average"))
+
+
+@query("bm25_block_max", _TWO + " SELECT chunk_id, round(bm25, 6) AS bm25 FROM b ORDER BY b.bm25 DESC, chunk_id LIMIT 100")
+def bm25_block_max(spark, sf):
+    found = block_index.search(spark, text_index(spark, sf), TERMS, FIELDS, 100)
+    return found.select(F.col("id").alias("chunk_id"), F.round("bm25", 6).alias("bm25"))
+
+
 @query("bm25_two_field", _TWO + " SELECT chunk_id, round(bm25, 6) AS bm25 FROM b")
 def bm25_two_field(spark, sf):
     return retrieval.bm25(chunks(spark, sf), TERMS, {"content": 1.0, "chapter_title": 2.0}).select("chunk_id", F.round("bm25", 6).alias("bm25"))
@@ -70,6 +93,69 @@ def knn_postfilter(spark, sf):
     return retrieval.knn(table(spark, sf, "embeddings"), QUERY).where("vec_id % 4 IN (0, 1)").select("vec_id", F.round("cos", 6).alias("cos"))
 
 
+def vector_cells(spark, sf) -> str:
+    """The stored vector index of the embeddings, built once for the same files."""
+    e = table(spark, sf, "embeddings")
+    return stored(e, "vector-index", lambda path: vector_index.write(e, "vec_id", "embedding", path))
+
+
+@query("knn_all_cells", f"WITH {_KNN} SELECT vec_id, round(cos, 6) AS cos FROM k")
+def knn_all_cells(spark, sf):
+    found = vector_index.search(spark, vector_cells(spark, sf), QUERY, 200, exact=True)
+    return found.select(F.col("id").alias("vec_id"), F.round("cos", 6).alias("cos"))
+
+
+@query("knn_probed")
+def knn_probed(spark, sf):
+    found = vector_index.search(spark, vector_cells(spark, sf), QUERY, retrieval.KNN_TOP)
+    return found.select(F.col("id").alias("vec_id"), F.round("cos", 6).alias("cos"))
+
+
+@query("knn_many")
+def knn_many(spark, sf):
+    asked = table(spark, sf, "embeddings").where("vec_id % 50 = 0")
+    found = vector_index.search_many(asked, "vec_id", "embedding", vector_cells(spark, sf), 10)
+    return found.select("query_id", "id", "rank", F.round("cos", 6).alias("cos"))
+
+
+# Han characters that stand for the letters a to z, as the tables have no Chinese texts.
+HAN = "的一是在不了有和人这中大为上个国我以要他时来用们生到"
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_HAN_TEXT = f"replace(translate(lower(content), '{_LATIN}', '{HAN}'), ' ', '')"
+QUESTION = "这和的他个上不上，math"
+_HAN_TOKENS = r"""flatten(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '(\p{{Han}}+)', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''),
+  lambda r: CASE WHEN regexp_matches(r, '^\p{{Han}}') AND length(r) > 1 THEN list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) ELSE [r] END))"""
+_HAN_WORDS = f"{W}, h AS (SELECT chunk_id, {_HAN_TEXT} AS content FROM chunks), l AS (SELECT chunk_id, {_HAN_TOKENS.format('content')} AS t FROM h)"
+
+
+def han_chunks(spark, sf):
+    """Texts without spaces: letters a to z as Han characters, others as they are."""
+    return chunks(spark, sf).select("chunk_id", F.replace(F.translate(F.lower("content"), _LATIN, HAN), F.lit(" "), F.lit("")).alias("content"))
+
+
+@query("han_terms", _HAN_WORDS + " SELECT term, count(*) AS n, count(DISTINCT chunk_id) AS df FROM (SELECT chunk_id, unnest(t) AS term FROM l) GROUP BY term")
+def han_terms(spark, sf):
+    found = retrieval.postings(han_chunks(spark, sf), "chunk_id", "content")
+    return found.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
+
+
+@query("bm25_han", _HAN_WORDS + f""", q AS (SELECT DISTINCT unnest({_HAN_TOKENS.format(f"'{QUESTION}'")}) AS term),
+x AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM l) JOIN q USING (term) GROUP BY chunk_id, term),
+s AS (SELECT chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / average))) AS bm25
+  FROM x JOIN (SELECT term, count(*) AS df FROM x GROUP BY term) USING (term), (SELECT count(*) AS n, avg(len(t)) AS average FROM l) GROUP BY chunk_id)
+SELECT chunk_id, round(bm25, 6) AS bm25 FROM s ORDER BY s.bm25 DESC, chunk_id LIMIT 100""")
+def bm25_han(spark, sf):
+    found = retrieval.bm25(han_chunks(spark, sf), segment.analyse(spark, QUESTION), {"content": 1.0})
+    return found.orderBy(F.desc("bm25"), "chunk_id").limit(100).select("chunk_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("segmented_terms")
+def segmented_terms(spark, sf):
+    c = han_chunks(spark, sf)
+    cut = segment.segmented(c, "content", segment.fit(c, "content"))
+    return retrieval.postings(cut, "chunk_id", "words").groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
+
+
 _STAGE = "grade IN ('primary', 'junior', 'senior')"
 _FUSED = (
     _TWO + f""", {_KNN},
@@ -80,8 +166,6 @@ f AS (SELECT id, sum(1.0 / (60 + r)) / (CASE WHEN (SELECT count(*) FROM n) > 0 T
 
 
 def _lists(spark, sf):
-    from stratalex.functions import enrich
-
     c = chunks(spark, sf)
     keep = enrich.in_stage(F.col("grade"), "senior")
     text = retrieval.bm25(c, TERMS, {"content": 1.0, "chapter_title": 2.0}, keep).orderBy(F.desc("bm25"), "chunk_id").limit(retrieval.BM25_TOP)
@@ -102,7 +186,8 @@ res AS (SELECT CAST(position AS INTEGER) AS position, chunk_id, source_file, gra
 
 
 def _search(spark, sf):
-    return retrieval.search(chunks(spark, sf), table(spark, sf, "embeddings"), TERMS, QUERY, "senior")
+    by_text = block_index.search(spark, text_index(spark, sf), TERMS, FIELDS, retrieval.BM25_TOP, enrich.in_stage(F.col("grade"), "senior"))
+    return retrieval.search(chunks(spark, sf), table(spark, sf, "embeddings"), TERMS, QUERY, "senior", by_text=by_text)
 
 
 @query("rrf_weighted", _TOP + " SELECT chunk_id, round(score, 9) AS score FROM res ORDER BY res.score DESC")
@@ -129,25 +214,62 @@ def adjacent_chunks(spark, sf):
     return context.all_neighbours(chunks(spark, sf))
 
 
-_EXPAND = _TOP + _AROUND.format("res") + """, u AS (
-  SELECT chunk_id, score, position * 1000 AS a FROM res UNION ALL
-  SELECT r.chunk_id, s.score * 0.9, s.position * 1000 + 500 + r.distance FROM around r JOIN res s ON s.chunk_id = r.anchor_id),
-e AS (SELECT chunk_id, score, a FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY a) AS k FROM u) WHERE k = 1 ORDER BY a LIMIT 9)"""
+#: Results by score and weight, each with its neighbours, folded one after another.
+_FOLD = """,
+rr AS (SELECT *, row_number() OVER (ORDER BY score * CASE WHEN weight > 0 THEN weight ELSE 1.0 END DESC, position) AS p FROM res),
+nb AS (SELECT anchor_id, list(chunk_id ORDER BY distance) AS ids FROM around GROUP BY anchor_id),
+folded AS (
+  SELECT CAST(0 AS BIGINT) AS p, CAST([] AS STRUCT(chunk_id BIGINT, score DOUBLE)[]) AS picks
+  UNION ALL SELECT rr.p, CASE WHEN list_contains(list_transform(picks, lambda x: x.chunk_id), rr.chunk_id) THEN picks
+    ELSE list_concat(picks, [{'chunk_id': rr.chunk_id, 'score': rr.score}], list_transform(
+      list_filter(coalesce(ids, []), lambda n: n <> rr.chunk_id AND NOT list_contains(list_transform(picks, lambda x: x.chunk_id), n)), lambda n: {'chunk_id': n, 'score': rr.score * 0.9})) END
+  FROM folded JOIN rr ON rr.p = folded.p + 1 LEFT JOIN nb ON nb.anchor_id = rr.chunk_id),
+e AS (SELECT x.chunk_id AS chunk_id, x.score AS score, i AS position FROM (SELECT unnest(picks[1:9]) AS x, unnest(range(1, 10)) AS i FROM folded WHERE p = (SELECT max(p) FROM folded)) WHERE x IS NOT NULL)"""
 
 
-def _expanded(spark, sf):
-    c = chunks(spark, sf)
-    found = written(_search(spark, sf), "results")  # at most 20 rows, used three times
-    anchors = found.join(c.select("chunk_id", "start_char"), "chunk_id").select(F.col("chunk_id").alias("anchor_id"), "source_file", "start_char")
-    return context.expand(found, context.neighbours(c, anchors), 5)
+def _folded(top: str) -> str:
+    return top.replace("WITH ", "WITH RECURSIVE ", 1).replace("content, start_char\n", "content, start_char, weight\n") + _AROUND.format("res") + _FOLD
+
 
+_EXPAND = _folded(_TOP)
+_PRINT = """ SELECT coalesce('{0}' || string_agg('参考' || position || ' ' || CASE grade WHEN 'primary' THEN '小学' WHEN 'junior' THEN '初中' WHEN 'senior' THEN '高中' WHEN 'university' THEN '大学拓展' ELSE '' END || ' ' ||
+  CASE WHEN chapter_title <> '' THEN '（' || chapter_title || '）' ELSE '' END || '[' || source_file || '] [得分: ' || CAST(round(score * 100) AS INTEGER) || '%]' || chr(10) ||
+  trim(regexp_replace(regexp_replace(content, '<[^>]*>', '', 'g'), '&lt;/?[a-zA-Z][^&]*&gt;', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10), '' ORDER BY position) || '{1}', '') AS context, count(*) AS n
+FROM e JOIN chunks USING (chunk_id)""".format(context.BEFORE, context.AFTER)
 
-@query("expand_context", _EXPAND + " SELECT chunk_id, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY a) AS INTEGER) AS position FROM e")
+
+@query("expand_context", _EXPAND + " SELECT chunk_id, round(score, 9) AS score, CAST(position AS INTEGER) AS position FROM e")
 def expand_context(spark, sf):
-    return _expanded(spark, sf).select("chunk_id", F.round("score", 9).alias("score"), "position")
+    return question.expanded(chunks(spark, sf), _search(spark, sf), 5).select("chunk_id", F.round("score", 9).alias("score"), "position")
 
 
-@query("prompt_context", _EXPAND + ", o AS (SELECT *, row_number() OVER (ORDER BY a) AS p FROM e) SELECT string_agg('[' || p || '] ' || source_file || ' (' || CAST(round(score * 100) AS INTEGER) || '%)' || chr(10) || content, chr(10) || chr(10) ORDER BY p) AS context, count(*) AS n FROM o JOIN chunks USING (chunk_id)")
+@query("prompt_context", _EXPAND + _PRINT)
 def prompt_context(spark, sf):
-    e = _expanded(spark, sf).join(chunks(spark, sf).select("chunk_id", "source_file", "content"), "chunk_id")
-    return context.prompt_text(e)
+    return context.prompt_text(question.expanded(chunks(spark, sf), _search(spark, sf), 5))
+
+
+ASKED = "that onen ered"
+_LOCAL = EMBED.split("v AS")[0].replace("WITH d AS", "d AS").replace("FROM documents", "FROM documents UNION ALL SELECT -1, regexp_replace('高中 " + ASKED + " 高考考点', '[ ]+', ' ', 'g')")
+#: The vectors of the chunks and of the question, and the 200 nearest chunks.
+_KNN_LOCAL = _LOCAL + """v AS (SELECT doc_id, s, sum(w) AS w FROM g GROUP BY doc_id, s),
+u AS (SELECT doc_id, map(list(s), list(CAST(CAST(w AS DOUBLE) / sqrt(CAST(t AS DOUBLE)) AS FLOAT))) AS m FROM (SELECT *, sum(w * w) OVER (PARTITION BY doc_id) AS t FROM v) GROUP BY doc_id),
+z AS (SELECT doc_id, list_transform(range(256), lambda i: CAST(coalesce(m[i], 0) AS DOUBLE)) AS e FROM u),
+k AS (SELECT d.doc_id AS vec_id, coalesce(list_dot_product(z.e, q.e) / sqrt(list_dot_product(z.e, z.e)), 0.0) AS cos FROM d LEFT JOIN z USING (doc_id), (SELECT e FROM z WHERE doc_id = -1) q WHERE d.doc_id >= 0 ORDER BY cos DESC, vec_id LIMIT 200)"""
+_ASKED = _folded(_TOP.replace(_KNN, _KNN_LOCAL))
+
+
+def question_store(spark, sf) -> str:
+    """What questions read beside the chunks, built once for the same files."""
+    c = chunks(spark, sf)
+    return stored(c, "question-store", lambda path: question.write_store(c, path))
+
+
+@query("question_results", _ASKED + " SELECT CAST(position AS INTEGER) AS position, chunk_id, round(score, 9) AS score FROM res")
+def question_results(spark, sf):
+    found = question.results(chunks(spark, sf), question_store(spark, sf), ASKED, "senior")
+    return found.select("position", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@query("question_context", _ASKED + _PRINT)
+def question_context(spark, sf):
+    return question.question_context(chunks(spark, sf), question_store(spark, sf), ASKED, "senior")

@@ -8,6 +8,7 @@ from stratalex.functions import enrich
 from stratalex.functions import text as T
 from stratalex.operators import kb
 from stratalex.plans.catalogue import CHUNKS, query
+from stratalex.sources.scratch import scratch_path
 from stratalex.sources.tables import PROVIDERS, STAGES, chunks, stages, table
 
 W = f"WITH {CHUNKS} "
@@ -80,6 +81,15 @@ def upsert_last_wins(spark, sf):
     return kb.upsert(c.where("chunk_id % 3 != 0"), c.where("chunk_id % 3 = 0"), "content", "chunk_id").select("chunk_id", "source_file", "content_hash")
 
 
+@query("merge_store", W + ", r AS (SELECT *, CASE WHEN chunk_id % 50 = 0 THEN 1 ELSE 0 END AS n FROM chunks) SELECT chunk_id, source_file, content_hash, substr(content_hash, 1, 2) AS prefix FROM (SELECT *, sha256(content) AS content_hash, row_number() OVER (PARTITION BY sha256(content) ORDER BY n DESC, chunk_id DESC) AS k FROM r) WHERE k = 1")
+def merge_store(spark, sf):
+    c, path = chunks(spark, sf), scratch_path(spark, "store")
+    old = c.where("chunk_id % 50 != 0")
+    kb.write_store(kb.upsert(old.limit(0), old, "content", "chunk_id").drop("content_hash"), "content", path)
+    kb.merge_into(path, c.where("chunk_id % 50 = 0"), "content", "chunk_id")
+    return kb.read_store(spark, path).select("chunk_id", "source_file", "content_hash", "prefix")
+
+
 @query("char_delta", W + "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS added_chars, count(*) AS added_chunks FROM (SELECT DISTINCT content, length(content) AS n FROM chunks WHERE chunk_id % 3 = 0 AND content NOT IN (SELECT content FROM chunks WHERE chunk_id % 3 <> 0))")
 def char_delta(spark, sf):
     c = chunks(spark, sf)

@@ -109,7 +109,7 @@ def latex_wrap(spark, sf):
     return _with_formulas(spark, sf).select("chunk_id", T.wrap_latex("content").alias("content"))
 
 
-@query("strip_html", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;[^&]*?&gt;', '', 'g')) AS text FROM pages")
+@query("strip_html", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;/?[a-zA-Z][^&]*&gt;', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM pages")
 def strip_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
 
@@ -203,7 +203,7 @@ def chapter_split(spark, sf):
     return _chunked(spark, sf).select("source_file", "ordinal", "chapter_title", "stage", "knowledge_point", "question_type", "source_type", "weight", "has_formula", "formula_count")
 
 
-_EMBED = r"""
+EMBED = r"""
 WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[ \t\n\x0b\f\r]+', ' ', 'g') AS t FROM documents),
 c AS (SELECT doc_id, list_transform(string_split(t, ''), lambda x: CAST(unicode(x) AS BIGINT)) AS c, t FROM d),
 g AS (
@@ -216,7 +216,7 @@ v AS (SELECT doc_id, s, sum(w) AS w FROM g GROUP BY doc_id, s)
 SELECT doc_id, CAST(s AS INTEGER) AS dim, round(CAST(CAST(CAST(w AS DOUBLE) / sqrt(CAST(sum(w * w) OVER (PARTITION BY doc_id) AS DOUBLE)) AS FLOAT) AS DOUBLE), 5) AS weight FROM v"""
 
 
-@query("local_embedding", _EMBED)
+@query("local_embedding", EMBED)
 def local_embedding(spark, sf):
     v = table(spark, sf, "documents").select("doc_id", F.posexplode(embedding.embed_local("text")).alias("dim", "w")).where("w != 0")
     return v.select("doc_id", "dim", F.round(F.col("w").cast("double"), 5).alias("weight"))

@@ -60,12 +60,20 @@ def path_filter(spark, sf):
     return table(spark, sf, "pages").where(urls.in_paths(F.col("url"), ["/EN/", "utm_"])).select("page_id")
 
 
-_SAFE = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'ftp://x.com/' WHEN 2 THEN 'http://127.0.0.1/a' WHEN 3 THEN 'http://172.20.1.1:80/' WHEN 4 THEN 'http:///x' ELSE 'https://172.32.0.1/' END"
-
-
-@query("url_safety", f"SELECT page_id, CASE page_id % 6 WHEN 1 THEN 'scheme' WHEN 2 THEN 'address' WHEN 3 THEN 'address' WHEN 4 THEN 'host' END AS reason FROM pages")
+# hosts by page and what must come of them: of literal addresses those of networks inside
+_HOSTS = [
+    ("example.com", None), ("fdic.gov", None), ("fcbayern.com", None), ("127.0.0.1", "address"), ("127.1", "address"), ("2130706433", "address"), ("0x7f.1", "address"), ("0177.0.0.1", "address"),
+    ("172.20.1.1:80", "address"), ("172.32.0.1", None), ("192.168.1.256", None), ("10.0.0.0", "address"), ("0.0.0.0", "address"), ("0.0.0.1", None), ("u:p@10.1.2.3:8080", "address"),
+    ("", "host"), (":80", "host"), ("[::1]", "address"), ("[::1]:8080", "address"), ("[::]", "address"), ("[fd12:3456::1]", "address"), ("[fe80::1%25eth0]", "address"), ("[fec0::7]", "address"),
+    ("[2001:db8::1]", None), ("[::ffff:192.168.0.1]", "address"), ("[::ffff:8.8.8.8]", None), ("[1:2:3]", "host"), ("LOCALHOST", "address"), ("169.254.169.254", "address"), ("8.8.8.8", None),
+]
+_CHOSEN = "CASE page_id % 31 " + " ".join(f"WHEN {i} THEN 'http://{h}/a'" for i, (h, _) in enumerate(_HOSTS)) + " ELSE 'ftp://x.com/' END"
+_REASONS = "CASE page_id % 31 " + " ".join(f"WHEN {i} THEN '{r}'" for i, (_, r) in enumerate(_HOSTS) if r) + " WHEN 30 THEN 'scheme' END"
+
+
+@query("url_safety", f"SELECT page_id, NULL AS own, {_REASONS} AS reason FROM pages")
 def url_safety(spark, sf):
-    return table(spark, sf, "pages").select("page_id", urls.unsafe_reason(F.expr(_SAFE)).alias("reason"))
+    return table(spark, sf, "pages").select("page_id", urls.unsafe_reason(F.col("url")).alias("own"), urls.unsafe_reason(F.expr(_CHOSEN)).alias("reason"))
 
 
 @query("redirect_status", "SELECT page_id, page_id % 20 + 295 AS status FROM pages WHERE page_id % 20 + 295 IN (301, 302, 303, 307, 308)")
@@ -103,3 +111,10 @@ def _normal_sql(of: str) -> str:
 @query("page_graph", f"SELECT DISTINCT {_normal_sql('url')} AS src, {_normal_sql('link')} AS dst FROM ({_LINKS})")
 def page_graph(spark, sf):
     return web.edges_of(web.extract(table(spark, sf, "pages"), kept_links_only=False, columns=["links"]))
+
+
+@query("crawl_queue")
+def crawl_queue(spark, sf):
+    pages = web.first_pages(web.extract(table(spark, sf, "pages"), columns=["text", "links"]))
+    seeds = [r["url"] for r in table(spark, sf, "pages").orderBy("page_id").select("url").limit(20).collect()]
+    return web.crawl(pages, seeds, 500, 3)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(source: DataFrame, label: str, build: Callable[[str], None]) -> str:
+    """The path of what ``build`` derives from ``source``, built once for the same files.
+
+    Names, sizes and times of the files tell whether they are the same.  What is built
+    appears under its path as a whole.
+    """
+    spark = source.sparkSession
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    seen = hashlib.sha256()
+    for name in sorted(source.inputFiles()):
+        file = jvm.org.apache.hadoop.fs.Path(name)
+        status = file.getFileSystem(conf).getFileStatus(file)
+        seen.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
+    path = f"{scratch_root(spark)}/{label}-{seen.hexdigest()}"
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    if not files.exists(target):
+        made = scratch_path(spark, label)
+        build(made)
+        if not files.rename(jvm.org.apache.hadoop.fs.Path(made), target) and not files.exists(target):
+            raise OSError(f"can't store {path}")
+    return path
+
+
 class Scratch:
     """Tables of one run under one folder of the shared place, dropped together at its end.
 

@@ -69,3 +69,29 @@ def test_rate_limit_of_a_hot_key(spark):
         start, count = (ms, 1) if start is None or start < ms - 5000 else (start, count + 1)
         want[i] = (start, count, count <= rate_limit.API_LIMIT)
     assert {r.request_id: (r.window_start, r.n_in_window, r.allowed) for r in limited.collect()} == want
+
+
+def test_rate_limit_over_ranges_equals_a_fold(spark):
+    import random
+
+    r = random.Random(6)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for window, span in ((50, 400), (5000, 400), (7, 100_000)):
+            rows = [(i, r.choice("aaaaab") if i % 3 else f"k{i % 40}", r.choice(["/api/chat", "/api/x"]), r.randrange(span)) for i in range(3000)]
+            limited = rate_limit.limit_batch(spark.createDataFrame(rows, REQUEST), 2, 5, window)
+            want, state = {}, {}
+            for i, ip, path, ms in sorted(rows, key=lambda x: (x[3], x[0])):
+                key = f"{ip}|{'chat' if path == '/api/chat' else 'api'}"
+                start, n = state.get(key, (None, 0))
+                state[key] = start, n = (ms, 1) if start is None or start < ms - window else (start, n + 1)
+                want[i] = (key, start, n, n <= (2 if key.endswith("chat") else 5))
+            assert {x.request_id: (x.key, x.window_start, x.n_in_window, x.allowed) for x in limited.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_rate_limit_of_nothing(spark):
+    assert rate_limit.limit_batch(spark.createDataFrame([], REQUEST)).count() == 0
