@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalex.functions import text as T
+from stratalex.operators import kb
 
 
 def payload(line: Column) -> Column:
@@ -49,6 +50,23 @@ def distinct_stream(rows: DataFrame, content: str) -> DataFrame:
     return rows.withColumn("content_hash", T.content_hash(F.col(content))).dropDuplicates(["content_hash"])
 
 
+def distinct_within(rows: DataFrame, content: str, time: str, delay: str) -> DataFrame:
+    """Each content once within ``delay`` of its first time; older state is dropped, so it stays bounded.
+
+    A content that comes again later passes: the store it goes into must know it, as with ``ingest_into``.
+    """
+    hashed = rows.withColumn("content_hash", T.content_hash(F.col(content))).withWatermark(time, delay)
+    return hashed.dropDuplicatesWithinWatermark(["content_hash"])
+
+
+def ingest_into(stream: DataFrame, path: str, checkpoint: str, content: str, order: str):
+    """Merges what is new since the checkpoint into a store by hash (``kb.merge_into``), then stops.
+
+    A batch that is run again after a failure changes nothing.
+    """
+    return ingest(stream, checkpoint, lambda batch, _: kb.merge_into(path, batch, content, order))
+
+
 def ingest(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None]):
     """Runs ``merge(batch, id)`` for what is new since the checkpoint, then stops."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
