@@ -15,7 +15,7 @@ from stratalex.functions.lexicons import LATEX
 CONTROLS = "".join(map(chr, range(33)))
 
 BLOCK = r"\$\$[\s\S]*?\$\$"
-COMMAND = rf"(?i)(?<!\$)\\({LATEX})\b"
+COMMAND = rf"(?i)(?<!\$)\\({LATEX})(?![A-Za-z0-9_])"
 
 
 def content_hash(text: Column) -> Column:
@@ -42,14 +42,16 @@ def has_formula(text: Column) -> Column:
     return has_latex(text) | (formula_blocks(text) > 0)
 
 
-_WRAP = re.compile(rf"\$\$[\s\S]*?\$\$|(?<!\$)\$[^$\n<>]+?\$(?!\$)|((?<!\$)\\(?:{LATEX})\b[^$<>]*)", re.ASCII)
+#: Formulas, and in the first group LaTeX that stands bare.
+_SPAN = rf"\$\$[\s\S]*?\$\$|(?<!\$)\$[^$\n<>]+?\$(?!\$)|((?<!\$)\\(?:{LATEX})(?![A-Za-z0-9_])[^$<>]*)"
+_WRAP = re.compile(_SPAN)
 
 
 def wrap_formulas(text: str | None) -> str | None:
     """Puts bare LaTeX of six characters or more into dollar signs; the case counts."""
 
     def put(m: re.Match) -> str:
-        bare = (m[1] or "").strip()
+        bare = (m[1] or "").strip(CONTROLS)
         return f"$${bare}$$" if len(bare) >= 6 else m[0]
 
     return text and _WRAP.sub(put, text)
@@ -67,9 +69,14 @@ def page_formulas(text: str) -> str:
     return wrap_formulas(text) or ""
 
 
-@F.pandas_udf(StringType())
-def wrap_latex(texts: pd.Series) -> pd.Series:
-    return texts.map(wrap_formulas, na_action="ignore")
+def wrap_latex(text: Column | str) -> Column:
+    """``wrap_formulas`` in the JVM: the text is split at formulas and bare LaTeX, of which the long ones are wrapped."""
+    text = F.col(text) if isinstance(text, str) else text
+    spans = F.arrays_zip(F.regexp_extract_all(text, F.lit(_SPAN), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(_SPAN), F.lit(1)).alias("bare"))
+    bare = lambda s: F.btrim(s["bare"], F.lit(CONTROLS))
+    put = lambda s: F.when(F.length(bare(s)) >= 6, F.concat(F.lit("$$"), bare(s), F.lit("$$"))).otherwise(s["whole"])
+    joined = F.zip_with(F.split(text, _SPAN), spans, lambda gap, s: F.concat(gap, F.coalesce(put(s), F.lit(""))))
+    return F.when(F.rlike(text, F.lit(COMMAND)), F.array_join(joined, "")).otherwise(text)
 
 
 def normalise_formulas(html: Column) -> Column:

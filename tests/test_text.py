@@ -84,3 +84,14 @@ def test_page_text():
     assert web.page("http://h/d/", html, ["links"], False)["links"] == ["http://h/n", "http://h/d/sub?q=1"]
     assert web.resolve_redirect("http://h/a", "/b c/é") == "http://h/b%20c/%C3%A9"
     assert web.page_text(None) == "" and web.page(None, "", ["tables"])["tables"] == []
+
+
+def test_wrapping_in_the_jvm_equals_python(spark):
+    import random
+
+    r = random.Random(3)
+    bits = ["$", "$$", "\\frac{1}{2}", "\\pi", "\\PI", "\\sum_i x", "\\foo", "\\", " ", "\n", "<b>", "x", "\\in1", "\\alpha ", "é", "\t\\sqrt2\n"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(14))) for _ in range(3000)] + [None, "", "$$", "\\frac{1}{2}" + "y" * 50_000]
+    assert values(spark, texts, T.wrap_latex) == [T.wrap_formulas(t) for t in texts]
+    plan = spark.createDataFrame([("x",)], "t string").select(T.wrap_latex("t"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
