@@ -141,5 +141,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a window of the benchmark."""
     bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_bad_id"), F.col("_k").alias("_bad_k")).distinct()
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(bad, (key == F.col("_bad_k")) & F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti")
+    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    # columns of one side each, so that no name of the caller's is mistaken
+    return docs.join(bad, (key == bad["_bad_k"]) & docs[id_col].eqNullSafe(bad["_bad_id"]), "left_anti")

@@ -51,22 +51,32 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % slots).cast("int")
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front while ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def assign_shards(docs: DataFrame, key_col: str = "doc_id", shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """``docs`` with _slot and _shard (the shard's number); no shuffle.
 
-    Equal keys share a shard; a null key counts as the empty text.
+    Equal keys share a shard; a null key counts as the empty text.  Where ``docs`` has a
+    column of such a name it stays, and the new one has one more underscore in front.
     """
-    spark = docs.sparkSession
-    owners = spark.createDataFrame(list(enumerate(lookup_table(shards, slots))), "_slot int, _shard int")
-    return docs.withColumn("_slot", slot_of(F.col(key_col), slots)).join(F.broadcast(owners), "_slot")
+    spark, slot = docs.sparkSession, _free(docs, "_slot")
+    owners = spark.createDataFrame(list(enumerate(lookup_table(shards, slots))), f"{slot} int, {_free(docs, '_shard')} int")
+    return docs.withColumn(slot, slot_of(F.col(key_col), slots)).join(F.broadcast(owners), slot)
 
 
 def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", shards: Sequence[str] = SHARDS, slots: int = SLOTS, files: int = 8) -> None:
-    """Writes ``docs`` as one folder for each shard, in up to ``files`` files each.
+    """Writes ``docs`` as one folder for each shard, in up to ``files`` files each, with all columns of ``docs``.
 
     The rows of a shard are dealt over ``files`` tasks by a hash of the whole row, so a
     hot key does not meet in one of them.
     """
     placed = assign_shards(docs, key_col, shards, slots)
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(files))
-    placed.repartition(len(shards) * files, "_shard", salt).drop("_slot").write.partitionBy("_shard").parquet(path)
+    shard = _free(docs, "_shard")
+    placed.repartition(len(shards) * files, shard, salt).drop(_free(docs, "_slot")).write.partitionBy(shard).parquet(path)
