@@ -2,10 +2,10 @@
 
 Both sides hash every run of GRAM words and keep, in every SPAN consecutive hashes, the
 smallest: the mark of that window of WINDOW = GRAM + SPAN - 1 words.  A shared window has the
-same mark on both sides, so none is missed.  Marks that documents and items have in common
-are joined, each once for a document, however often its text repeats itself; the document's
-windows with such a mark are then compared with the items' windows, whole texts of windows
-and not hashes, which extends the hits and drops chance matches.  Items of fewer words than a
+same mark on both sides, so none is missed.  The places of windows whose mark an item has too
+are kept; the windows there are then cut out and compared with the items' windows, whole
+texts of windows and not hashes, which extends the hits and drops chance matches.  Each step
+takes time in proportion to a text's words, whatever it shares with the benchmark.  Items of fewer words than a
 window are one window of all their words, and its hash is its mark.
 """
 
@@ -55,24 +55,23 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda x: F.xxhash64(x))
 
 
-def _windows(words: Column, k: int, chosen: Callable[[Column], Column] | None = None) -> Column:
-    """array of struct(at, size, mark, words) for the windows of ``k`` words whose mark is chosen."""
+def _marks(words: Column, k: int) -> Column:
+    """array of struct(size, at, mark) for the windows of ``k`` words."""
+    return F.transform(_let(_hashed(words), lambda h: _window_marks(h, k)), lambda m, i: F.struct(F.lit(k).alias("size"), i.alias("at"), m.alias("mark")))
 
-    def made(marks: Column) -> Column:
-        each = F.transform(marks, lambda m, i: F.struct(i.alias("at"), m.alias("mark")))
-        each = F.filter(each, lambda x: chosen(x["mark"])) if chosen else each
-        return F.transform(each, lambda x: F.struct(x["at"].alias("at"), F.lit(k).alias("size"), x["mark"].alias("mark"), F.concat_ws(" ", F.slice(words, x["at"] + 1, k)).alias("words")))
 
-    return _let(_let(_hashed(words), lambda h: _window_marks(h, k)), made)
+def _with_words(words: Column, x: Column) -> Column:
+    return F.concat_ws(" ", F.slice(words, x["at"] + 1, x["size"]))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id (string), size, mark, words: the windows of each item, each once."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    windows = _windows(F.col("w"), WINDOW)
+    windows = _marks(F.col("w"), WINDOW)
     for k in range(WINDOW - 1, 0, -1):
-        windows = F.when(F.size("w") == k, _windows(F.col("w"), k)).otherwise(windows)
-    return items.select("item_id", F.explode(windows).alias("x")).select("item_id", "x.size", "x.mark", "x.words").distinct()
+        windows = F.when(F.size("w") == k, _marks(F.col("w"), k)).otherwise(windows)
+    each = items.select("item_id", "w", F.explode(windows).alias("x"))
+    return each.select("item_id", "x.size", "x.mark", _with_words(F.col("w"), F.col("x")).alias("words")).distinct()
 
 
 def _joined(rows: DataFrame, few: DataFrame, on: str, bytes_: int) -> DataFrame:
@@ -97,24 +96,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     keys = ["_id", "_k"]
 
     def prepared(words: Column) -> Column:
-        own = lambda h: F.array_distinct(F.concat(*[_window_marks(h, k) for k in sizes]))
-        return F.struct(F.size(words).cast("long").alias("n"), _let(_hashed(words), own).alias("marks"))
+        return F.struct(F.size(words).cast("long").alias("n"), F.concat(*[_marks(words, k) for k in sizes]).alias("marks"))
 
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_k"), _let(words_of(F.col(text_col)), prepared).alias("_p"))
     # a null mark stands for the document itself, so that one scan gives both
-    rows = base.select(*keys, F.col("_p.n").alias("n"), F.explode(F.concat("_p.marks", F.array(F.lit(None).cast("bigint")))).alias("mark"))
+    none = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit(None).cast("bigint").alias("mark")))
+    rows = base.select(*keys, F.col("_p.n").alias("n"), F.explode(F.concat("_p.marks", none)).alias("x")).select(*keys, "n", "x.size", "x.at", "x.mark")
     if n_marks * mark_bytes <= MOST_BROADCAST:
         rows = rows.join(F.broadcast(marks.withColumn("_met", F.lit(True))), "mark", "left").where("mark IS NULL OR _met").drop("_met")
     else:
         rows = rows.where("mark IS NULL").unionByName(rows.where("mark IS NOT NULL").join(marks.hint("merge"), "mark"))
     rows = written(rows, "hits")
     each, met = rows.where("mark IS NULL").select(*keys, "n"), rows.where("mark IS NOT NULL")
-    met = met.groupBy(*keys).agg(F.collect_set("mark").alias("met"))  # no more than the text has windows
+    met = met.groupBy(*keys).agg(F.collect_set(F.struct("size", "at")).alias("met"))  # no more than the text has windows
 
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text).alias("_k"))
     both = own.alias("o").join(met.alias("f"), (F.col("o._k") == F.col("f._k")) & F.col("o._id").eqNullSafe(F.col("f._id")))
-    chosen = lambda m: F.array_contains("met", m)
-    found = both.select("o._id", "o._k", _let(words_of(F.col("_text")), lambda w: F.concat(*[_windows(w, k, chosen) for k in sizes])).alias("w"))
+    cut = lambda w: F.transform("met", lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), _with_words(w, x).alias("words")))
+    found = both.select("o._id", "o._k", _let(words_of(F.col("_text")), cut).alias("w"))
     found = found.select(*keys, F.explode("w").alias("x")).select(*keys, "x.at", "x.size", "x.words")
     hits = written(_joined(found, bench.select("words", F.col("size").alias("_size")), "words", window_bytes).where("size = _size").drop("_size"), "found")
 

@@ -78,3 +78,17 @@ def test_repetitive_texts(spark, make_docs):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {1: (40_000, 40_000, 30), 2: (9, 0, 0), 3: (4000, 4000, 1), 4: (10, 10, 30)}
     assert time.time() - began < 60
+
+
+def test_a_long_text_of_hits_takes_linear_time(spark, make_docs):
+    import time
+
+    passage = [f"p{i}" for i in range(300)]
+    items = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    took = []
+    for times in (100, 800):
+        began = time.time()
+        got = decontaminate.contamination(make_docs([(1, " ".join(passage * times))]), items).first()
+        took.append(time.time() - began)
+        assert (got["n_words"], got["n_hit"], got["n_items"]) == (300 * times, 300 * times, 1)
+    assert took[1] < 60
