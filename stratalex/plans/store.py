@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalex.functions import enrich
+from stratalex.functions import enrich, urls
 from stratalex.functions import text as T
 from stratalex.operators import kb
 from stratalex.plans.catalogue import CHUNKS, query
 from stratalex.sources.scratch import scratch_path
-from stratalex.sources.tables import PROVIDERS, STAGES, chunks, stages, table
+from stratalex.sources.tables import PROVIDERS, STAGES, chunks, providers, stages, table
 
 W = f"WITH {CHUNKS} "
 
@@ -140,9 +140,23 @@ def stage_lookup(spark, sf):
     return chunks(spark, sf).join(F.broadcast(stages(spark)), F.col("grade") == F.col("stage")).select("chunk_id", "label", "temperature", "stage_order")
 
 
-@query("provider_dimension", f"SELECT unnest({PROVIDERS!r}) AS provider, unnest(range({len(PROVIDERS)})) AS position")
+_MODELS = ", ".join(f"({i}, '{code}', '{name}', '{url}', {models.split()!r})" for i, (code, name, url, models) in enumerate(PROVIDERS))
+
+
+# every session has one of the models, told by its number
+@query("provider_dimension", f"""WITH p AS (SELECT * FROM (VALUES {_MODELS}) v(position, provider, provider_name, base_url, models)),
+m AS (SELECT *, unnest(models) AS model FROM p), n AS (SELECT model, row_number() OVER (ORDER BY position, list_position(models, model)) - 1 AS i FROM m),
+s AS (SELECT model, count(*) AS sessions FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN n ON n.i = c.conv_id % (SELECT count(*) FROM n) GROUP BY model)
+SELECT CAST(position AS BIGINT) AS position, provider, provider_name, base_url, base_url || '/chat/completions' AS endpoint, array_to_string(models, ' ') AS models, CAST(coalesce(sum(sessions), 0) AS BIGINT) AS sessions
+FROM m LEFT JOIN s USING (model) GROUP BY position, provider, provider_name, base_url, models""")
 def provider_dimension(spark, sf):
-    return spark.createDataFrame([(p, i) for i, p in enumerate(PROVIDERS)], "provider string, position long")
+    offered = providers(spark)
+    names = [m for *_, models in PROVIDERS for m in models.split()]
+    sessions = table(spark, sf, "conversations").select("conv_id").distinct().select(F.get(F.array(*map(F.lit, names)), (F.col("conv_id") % len(names)).cast("int")).alias("model"))
+    used = sessions.groupBy("model").agg(F.count("*").alias("sessions"))
+    met = offered.select("*", F.explode("model_options.value").alias("model")).join(used, "model", "left").groupBy("provider").agg(F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions"))
+    told = offered.join(met, "provider")
+    return told.select("position", "provider", "provider_name", "base_url", urls.completions_url(F.col("base_url")).alias("endpoint"), F.array_join("model_options.value", " ").alias("models"), "sessions")
 
 
 _FILES = """f AS (SELECT DISTINCT source AS path, source || '.pdf' AS name, CAST(length(source) AS BIGINT) AS size FROM documents),

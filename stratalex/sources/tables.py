@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 # Stages in order, with temperature and label.
 STAGES = [("primary", 1, 0.1, "小学"), ("junior", 2, 0.15, "初中"), ("senior", 3, 0.2, "高中"), ("university", 4, 0.3, "大学")]
 
-# Models offered by each provider code.
-PROVIDERS = ["deepseek", "kimi", "qwen", "zhipu", "minimax", "mimo"]
+# Provider codes with their names, base URLs and models.
+PROVIDERS = [
+    ("deepseek", "深度求索 DeepSeek", "https://api.deepseek.com/v1", "deepseek-v4-pro deepseek-v4-flash deepseek-v3.2 deepseek-r1"),
+    ("zhipu", "智谱AI GLM", "https://open.bigmodel.cn/api/paas/v4", "glm-5.2 glm-5-turbo glm-4.7-flash glm-4-flash"),
+    ("qwen", "阿里通义千问", "https://dashscope.aliyuncs.com/compatible-mode/v1", "qwen3.7-max qwen-max qwen-plus qwen-long"),
+    ("moonshot", "Moonshot Kimi", "https://api.moonshot.cn/v1", "kimi-k2.6 kimi-k2.5 moonshot-v1-128k"),
+    ("minimax", "MiniMax 稀宇", "https://api.minimaxi.com/v1", "MiniMax-M3 MiniMax-M2.7 MiniMax-M2.7-highspeed"),
+    ("mimo", "小米 MiMo", "https://api.xiaomimimo.com/v1", "mimo-v2.5-pro mimo-v2-pro mimo-v2-flash"),
+]
 
 
 # Crawl presets with their stage and the words of paths that they follow.
@@ -34,6 +41,12 @@ def stages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STAGES, "stage string, stage_order int, temperature double, label string")
 
 
+def providers(spark: SparkSession) -> DataFrame:
+    """position, provider, provider_name, base_url, model_options (label, value), in the order they are offered."""
+    rows = [(i, code, name, url, [(m, m) for m in models.split()]) for i, (code, name, url, models) in enumerate(PROVIDERS)]
+    return spark.createDataFrame(rows, "position long, provider string, provider_name string, base_url string, model_options array<struct<label:string,value:string>>")
+
+
 def files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
     """Files of a folder, not of its sub-folders, by path: path, name, size, modified.
 
