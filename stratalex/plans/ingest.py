@@ -10,6 +10,7 @@ from stratalex.operators import history, ingest, web
 from stratalex.plans.catalogue import query
 from stratalex.plans.search import _TOP, _search
 from stratalex.plans.web import _EDGES, _edges
+from stratalex.sources import archive
 from stratalex.sources.scratch import scratch_path
 from stratalex.sources.tables import PRESETS, files, table
 
@@ -165,3 +166,13 @@ def request_messages(spark, sf):
     c = table(spark, sf, "conversations")
     asked = c.select("conv_id").distinct().selectExpr("conv_id", "CASE conv_id % 3 WHEN 0 THEN 'senior' WHEN 1 THEN 'primary' END AS stage", "CASE WHEN conv_id % 4 = 0 THEN 0.7D END AS temperature", "concat('Source ', conv_id) AS context")
     return history.request_messages(c, asked, "You are a tutor.", DIRECTIVES)
+
+
+@query("archive_pages", "SELECT page_id, url, sha256(html) AS html_hash FROM pages")
+def archive_pages(spark, sf):
+    path = scratch_path(spark, "archive")
+    table(spark, sf, "pages").write.json(path)
+    archive.register(spark)
+    lines = spark.read.format("line_archive").load(path)
+    page = F.from_json("record", "page_id long, url string, html string")
+    return lines.where("record != ''").select(page.alias("p")).select("p.page_id", "p.url", F.sha2("p.html", 256).alias("html_hash"))
