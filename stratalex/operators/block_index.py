@@ -71,10 +71,10 @@ def search(spark: SparkSession, path: str, terms: Sequence[str], fields: dict[st
 
 def blocks_read(spark: SparkSession, path: str, terms: Sequence[str], fields: dict[str, float], k: int, where: Column | None = None) -> tuple[int, int]:
     """Blocks that a search scores, and those that have one of its terms."""
-    return _search(spark, path, terms, fields, k, where)[1:]
+    return _search(spark, path, terms, fields, k, where, True)[1:]
 
 
-def _search(spark: SparkSession, path: str, terms: Sequence[str], fields: dict[str, float], k: int, where: Column | None) -> tuple[DataFrame, int, int]:
+def _search(spark: SparkSession, path: str, terms: Sequence[str], fields: dict[str, float], k: int, where: Column | None, count: bool = False) -> tuple[DataFrame, int, int]:
     wanted = Counter(t.lower() for t in terms)
     figures = {r["field"]: (r["n"], r["average"]) for r in spark.read.parquet(f"{path}/figures").collect()}  # a row for each field
     blocks = spark.read.parquet(f"{path}/blocks").where(F.col("term").isin(*wanted) & F.col("field").isin(*fields))
@@ -95,13 +95,11 @@ def _search(spark: SparkSession, path: str, terms: Sequence[str], fields: dict[s
         first = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(FIRST).collect()]
         seen = scored(blocks.where(_named(first))).select("bm25").collect() if first else []  # k rows
         threshold = min(r["bm25"] for r in seen) - SLACK if len(seen) == k else 0.0
-        left = bounds.where(F.col("bound") >= threshold)
-        n, total = left.count(), bounds.count()
-        if n <= MOST_NAMED:
-            # equalities reach the reader, which skips the pages without such a block
-            some = blocks.where(_named([r["block"] for r in left.select("block").collect()]))
-        else:
-            some = blocks.join(left.select("block"), "block", "left_semi")
+        left = bounds.where(F.col("bound") >= threshold).select("block")
+        n, total = (left.count(), bounds.count()) if count else (0, 0)
+        few = [r["block"] for r in left.limit(MOST_NAMED + 1).collect()]
+        # equalities reach the reader, which skips the pages without such a block
+        some = blocks.where(_named(few)) if len(few) <= MOST_NAMED else blocks.join(left, "block", "left_semi")
         return written(scored(some), "best"), n, total
 
 
