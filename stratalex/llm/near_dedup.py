@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import LOWER_ALNUM, Scratch, batches_of, hash_windows, hash_words, mix64, written
+from stratalex.llm.common import LOWER_ALNUM, Scratch, batches_of, hash_windows, hash_words, mix64, parts, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 two texts share none of 20 bands of 4 samples once in 36 000 times.
@@ -160,12 +160,6 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return float(both / total) if total else 0.0
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
-
-
 # -- document frequencies -----------------------------------------------------------------
 
 
@@ -180,7 +174,7 @@ def frequencies(texts: DataFrame, scratch: Scratch) -> Frequencies:
 
     def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n, pack = np.zeros(blocks * size, np.uint32), 0, zstandard.ZstdCompressor(level=1).compress
-        for b in _parts(batches):
+        for b in parts(batches):
             n += b.num_rows
             found = np.concatenate([shingles(t.encode())[0] for t in b.column(0).to_pylist()])
             np.add.at(cells, (found >> _CELL).astype(np.int64), 1)
@@ -224,7 +218,7 @@ def frequencies(texts: DataFrame, scratch: Scratch) -> Frequencies:
             value, at = np.unique(every, return_inverse=True)
             return value, np.bincount(at, np.concatenate([times, np.ones(len(every) - len(have))]), len(value))
 
-        for b in _parts(batches):
+        for b in parts(batches):
             for t in b.column(0).to_pylist():
                 s = _shingles(t.encode())
                 more.append(np.unique(s[may[(s >> _CELL).astype(np.int64)]]))
@@ -262,7 +256,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pack, frequent = zstandard.ZstdCompressor(level=3).compress, shared.value
-            for b in _parts(batches):
+            for b in parts(batches):
                 sets, keys, marks, bodies = [], [], [], []
                 for h, t in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
                     raw = t.encode()
@@ -353,7 +347,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, shared, scratch: Scratch, many:
                     recent.popitem(last=False)
             return made
 
-        for b in _parts(batches):
+        for b in parts(batches):
             ma, mb = (b.column(c).flatten().to_numpy().reshape(-1, SAMPLES) for c in ("ma", "mb"))
             at = np.flatnonzero((ma == mb).sum(1) >= AGREE)
             both = b.select(["a", "b", "za", "zb"]).take(pa.array(at)).to_pydict()

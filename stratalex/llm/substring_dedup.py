@@ -26,11 +26,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import SPACES, hash_windows, hash_words, written
+from stratalex.llm.common import SPACES, batches_of, hash_windows, hash_words, parts, written
 
 WINDOW = 20
 #: Words of the shortest windows that are counted; shorter ones repeat by chance.
 LEAST = 10
+#: Texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
 
 _SEEDS = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0xA0761D6478BD642F)
 
@@ -121,7 +123,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpack, span = zstandard.ZstdDecompressor().decompress, window - length + 1
-            for b in batches:
+            for b in parts(batches):
                 found, keys, times = [], [[] for _ in by], []
                 for *of, body, runs in zip(*(b.column(c).to_pylist() for c in (*by, "body", "runs")), strict=True):
                     words = _hashes(body.encode() if isinstance(body, str) else unpack(body))[0]
@@ -145,7 +147,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
+        for b in parts(batches):
             z = pa.array([pack(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), b.column("hash"), z, pa.nulls(b.num_rows, pa.binary())], ["id", "key", "hash", "z", "runs"])
 
@@ -154,7 +156,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpack = zstandard.ZstdDecompressor().decompress
-            for b in batches:
+            for b in parts(batches):
                 out: list[list] = [[], [], [], [], [], []]
                 single = b.column("single")
                 for i, (doc, hashed, z, before) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "hash", "z", "runs")), strict=True)):
@@ -179,7 +181,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         single = bodies.mapInArrow(marks_of(length), f"mark long, {longs}, n int").groupBy("mark").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in by)).where("n = 1")
         single = single.groupBy(*by).agg(F.collect_list("mark").alias("single"))
         left = left.join(single, by, "left").select("id", "hash", "z", "runs", "single")
-        prepared = written(left.mapInArrow(narrowed_by(length), "id long, hash long, n_words long, z binary, runs binary, sha string"), "passages")
+        with batches_of(docs.sparkSession, BATCH_ROWS):
+            prepared = written(left.mapInArrow(narrowed_by(length), "id long, hash long, n_words long, z binary, runs binary, sha string"), "passages")
         done.append(prepared.where("runs IS NULL").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha", "z"))
         left = prepared.where("runs IS NOT NULL").select("id", key, "hash", "z", "runs")
         bodies = left.select(*by, F.col("z").alias("body"), "runs")
@@ -189,7 +192,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in parts(batches):
             out: list[list] = [[], [], *([] for _ in by)]
             for *of, z, runs in zip(*(b.column(c).to_pylist() for c in (*by, "z", "runs")), strict=True):
                 one, two = full_windows(unpack(z), window)
@@ -208,7 +211,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
+        for b in parts(batches):
             out: list[list] = [[], [], [], [], []]
             lists = b.column("one"), b.column("two")
             for i, (doc, z, runs) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "z", "runs")), strict=True)):

@@ -88,3 +88,18 @@ def test_words_that_polynomials_confuse(make_docs):
     rest = " ".join(f"w{i}" for i in range(19))
     check(make_docs, [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{rest} {one}"), (4, f"{rest} {two}")])
     check(make_docs, [(1, " ".join(one)), (2, " ".join(two))])
+
+
+def test_workers_get_few_texts_at_a_time(spark, make_docs, words, monkeypatch):
+    """Rows of a batch while texts are read; before, Spark's 10 000 whole texts and all their windows."""
+    rows, written = [], substring_dedup.written
+
+    def recorded(df, label):
+        rows.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return written(df, label)
+
+    monkeypatch.setattr(substring_dedup, "written", recorded)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    check(make_docs, [(i, " ".join(words(i % 3, 60))) for i in range(6)])
+    assert rows and max(rows) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
