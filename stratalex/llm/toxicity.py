@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import written
+from stratalex.llm.common import batches_of, parts, written
 
 #: Bounds of the sample the classifier is fitted on, about; a hash of the id picks it.
 TOXIC_ROWS, UNLABELLED_ROWS = 4_000, 12_000
@@ -35,6 +35,8 @@ LEAST_POSTERIOR = 0.4
 PRIOR, THRESHOLD = 0.1, 0.3
 #: Lengths of the beginnings of words.
 STEMS = (4, 5, 6)
+#: Texts of the sample that go to a Python worker at a time.
+BATCH_ROWS = 1000
 #: Adam steps and their size; pull of weights to zero, divided by the toxic texts.
 STEPS, RATE, DECAY = 500, 0.1, 0.15
 
@@ -132,10 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = toxic.select(F.lit(1).alias("y"), "_text").unionByName(other.select(F.lit(0).alias("y"), "_text"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(text_words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["y", "words"])
 
-    sample = written(sample.mapInArrow(words_of, "y int, words array<string>"), "sample")  # read three times
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        sample = written(sample.mapInArrow(words_of, "y int, words array<string>"), "sample")  # read three times
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Model({}, float(np.log(prior / (1 - prior))))
@@ -146,11 +149,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     number = {r["w"]: i for i, r in enumerate(ranked.orderBy(F.desc("gain"), "w").limit(WORDS).collect())}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = [sorted(number[w] for w in set(words) & number.keys()) for words in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["y", "numbers"])
 
-    rows = sorted((r["y"], list(r["numbers"])) for r in sample.mapInArrow(numbered, "y int, numbers array<int>").collect())  # a bounded sample
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        rows = sorted((r["y"], list(r["numbers"])) for r in sample.mapInArrow(numbered, "y int, numbers array<int>").collect())  # a bounded sample
     weights, bias = fit_nnpu([r for y, r in rows if y], [r for y, r in rows if not y], len(number), prior)
     return Model({w: float(weights[i]) for w, i in number.items()}, bias)
 
@@ -159,7 +163,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """For each row: id, held_out, score, predicted; whole texts, null as empty."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([model.score(t) for t in b.column(2).to_pylist()], pa.float64())], ["id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))

@@ -113,3 +113,17 @@ def test_risk_is_lowered_by_fit():
     other = [[1, int(r.integers(2, 20))] for _ in range(180)] + toxic[:20]
     w, b = toxicity.fit_nnpu(toxic, other, 20, 0.1)
     assert w[0] + b > 0 > w[1] + b
+
+
+def test_workers_get_few_texts_at_a_time(spark, make_docs, monkeypatch):
+    """Rows of a batch while the sample's words are cut; before, Spark's 10 000 with all their words and beginnings."""
+    rows, written = [], toxicity.written
+
+    def recorded(df, label):
+        rows.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return written(df, label)
+
+    monkeypatch.setattr(toxicity, "written", recorded)
+    found = list(corpus(3, 300))
+    toxicity.fit(make_docs([(i, t) for i, t, _ in found]), spark.createDataFrame([(i, y) for i, _, y in found], "doc_id long, toxic int"))
+    assert rows and max(rows) <= 1000
