@@ -170,3 +170,36 @@ def test_frequencies_are_exact(spark, make_docs, words, monkeypatch, share):
         got = of.weights(*nd.shingles(t.encode()))
         assert np.allclose(np.sort(got), np.sort(list(w.values())))
     assert len(of.known) <= share
+
+
+def test_no_link_is_left_to_the_leaders(make_docs, words, monkeypatch):
+    """Without any link that the leaders find, what shares a large set still comes into one group."""
+    found = nd._links
+
+    def no_links(*args):
+        links, members = found(*args)
+        return links.limit(0), members
+
+    monkeypatch.setattr(nd, "_links", no_links)
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    docs = family(words, 60, of=650, edits=3)
+    group = {r.doc_id: r.class_id for r in nd.near_groups(make_docs(docs)).collect()}
+    sets = weighted(word_sets([t for _, t in docs]))
+    similar = [(i, j) for i in range(len(docs)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(similar) > 300 and all(group[i] == group[j] for i, j in similar)
+
+
+def test_pairs_that_share_a_set_but_no_group(spark, monkeypatch):
+    """Against every pair of the sets, for sets of several blocks."""
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    base = rng.integers(-128, 128, nd.SAMPLES)
+    marks = {k: np.where(rng.random(nd.SAMPLES) < 0.15, rng.integers(-128, 128, nd.SAMPLES), base).tolist() for k in range(60)}
+    rows = spark.createDataFrame([(k, m) for k, m in marks.items()], "row long, marks array<byte>")
+    of = {1: range(40), 2: range(30, 60), 3: range(0, 60, 9), 4: range(20)}
+    label = {k: 0 if k < 20 else k - k % 3 for k in range(50)}  # others have none: a group of their own
+    members = spark.createDataFrame([(s, k, len(x)) for s, x in of.items() for k in x], "sid long, node long, n long")
+    got = {tuple(r) for r in nd._missed(members, spark.createDataFrame(list(label.items()), "node long, label long"), rows).collect()}
+    agree = lambda x, y: sum(p == q for p, q in zip(marks[x], marks[y], strict=True)) >= nd.AGREE
+    want = {(x, y) for s in of.values() if len(s) > nd.ALL for x in s for y in s if x < y and label.get(x, x) != label.get(y, y) and agree(x, y)}
+    assert got == want and 0 < len(want)
