@@ -6,7 +6,9 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from stratalex.llm import decontaminate as D
 from stratalex.llm import license_scan as L
 from stratalex.llm import queries
 
@@ -77,6 +79,15 @@ def test_plan_stays_in_the_jvm(spark, make_docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_words_are_found_by_a_table_of_characters(spark):
+    """The words of the contract, by a class without ranges, which take Java ten times as long."""
+    assert not re.search(r"-", D.WORD)
+    text = "".join(chr(c) + "x" + chr(c) for c in [*range(1, 0x3000), 0xFFFD, 0x1F600, 0x10FFFF] if not 0xD800 <= c < 0xE000)
+    rows = [(0, text), (1, "\0a\0B\0"), (2, None), (3, "")]
+    got = spark.createDataFrame(rows, "id int, text string").select("id", D.words_of(F.col("text"))).collect()
+    assert dict(map(tuple, got)) == {i: WORD.findall((t or "").translate(UPPER)) for i, t in rows}
+
+
 def test_empty_table_and_templates(spark, make_docs):
     assert L.scan(make_docs([])).count() == 0
     for wrong in ([], [L.Template("x", " ")], [L.Template("x", " ".join(map(str, range(L.MOST_WORDS + 1))))]):
