@@ -17,8 +17,9 @@ Jaccard similarity.  ROWS samples make a band, and nodes that share a band are a
 
 A node is so compared with a bounded number of others for each of its bands, whatever the
 size of the sets.  What this leaves in different groups though it shares a set is compared
-by all its samples, block by block: every pair of a set but those in one group already, so
-no link is lost to the leaders.  Pairs that agree in under AGREE of their samples are not similar (which
+by all its samples, block by block, and there on whole texts: every pair of a set but those in
+one group already, so no link is lost to the leaders.  A block gives no more links than join
+its groups, and none for a pair that is not similar.  Pairs that agree in under AGREE of their samples are not similar (which
 is wrong for one pair in 80 000 at similarity 0.8); the weighted Jaccard similarity of the
 others is computed on their whole texts.  Groups are the connected components of the links.
 """
@@ -46,8 +47,8 @@ SAMPLES = BANDS * ROWS
 AGREE = 48
 #: Nodes of a set that are all compared with each other.
 ALL = 8
-#: Nodes of a set on either side of a block of comparisons, about.
-BLOCK = 2048
+#: Nodes of a set on either side of a block of comparisons, about, and bytes of their packed texts.
+BLOCK, BLOCK_BYTES = 2048, 1 << 22
 #: Sets that are dealt anew go on by bands in these steps; each comes to all bands.
 STEPS = (1, 7, 11)
 #: A shingle that is 1/SHARE of all shingles has a count of its own.
@@ -109,7 +110,7 @@ def _variates() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _ODD = mix64(np.arange(20_011, 20_011 + SAMPLES, dtype=np.uint64)) | np.uint64(1)
-_LOW, _16, _32 = np.uint64(0xFFFF), np.uint64(16), np.uint64(32)
+_32 = np.uint64(32)
 #: Shingles drawn from at a time, which bounds the memory for very long texts.
 _STEP = 256
 
@@ -127,17 +128,17 @@ def samples(shingle: np.ndarray, weight: np.ndarray) -> np.ndarray:
         part = shingle[lo : lo + _STEP]
         x = _ODD[:, None] * part
         x ^= x >> _32
-        at = (x & _LOW).view(np.int64)
-        t = inverse[at]
+        bits, at = x.view("<u2"), x.view("<u2")[:, ::4].astype(np.int64)
+        t = inverse.take(at, mode="clip")
         t *= log_w[lo : lo + _STEP]
-        beta = (x >> _32).astype(np.float32)
+        beta = x.view("<u4")[:, 1::2].astype(np.float32)
         beta *= np.float32(2**-32)
         t += beta
         np.floor(t, out=t)
         a = t - beta
         a += 1
-        a *= r[at]
-        np.subtract(log_c[((x >> _16) & _LOW).view(np.int64)], a, out=a)
+        a *= r.take(at, mode="clip")
+        np.subtract(log_c.take(bits[:, 1::4].astype(np.int64), mode="clip"), a, out=a)
         k = a.argmin(1)  # shingles come in order of their hashes: ties go alike
         best, pick = a[rows, k], mix64(part[k] + t[rows, k].astype(np.int64).view(np.uint64))
         if least is None:
@@ -181,7 +182,8 @@ def frequencies(texts: DataFrame, scratch: Scratch) -> Frequencies:
         for b in parts(batches):
             n += b.num_rows
             found = np.concatenate([shingles(t.encode())[0] for t in b.column(0).to_pylist()])
-            np.add.at(cells, (found >> _CELL).astype(np.int64), 1)
+            cell, times = np.unique((found >> _CELL).astype(np.uint32), return_counts=True)
+            cells[cell] += times.astype(np.uint32)
         for k, part in enumerate(cells.reshape(blocks, size)):
             if part.any() or (n and not k):
                 yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "docs": pa.array([0 if k else n], pa.int64()), "z": [pack(part.tobytes())]})
@@ -276,11 +278,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 )
 
         rows = texts.mapInArrow(sketch, "key long, h binary, set binary, bands array<long>, marks array<byte>, z binary")
-        rows = scratch.written(rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
+        rows = scratch.written(rows.select("*", F.octet_length("z").alias("bytes"), F.monotonically_increasing_id().alias("row")), "sketches")
         of_set = scratch.written(rows.groupBy("set").agg(F.min("row").alias("node")), "node-of-set")
         links, members = _links(rows, of_set, shared, scratch)
         labels = components(links, scratch)
-        more = _similar(scratch.written(_missed(members, labels, rows), "missed"), rows, shared, scratch, True)
+        more = scratch.written(_missed(members, labels, rows, shared, scratch), "missed")
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch)
         placed = rows.select("key", "h", "set").join(of_set, "set").join(labels, "node", "left").select("key", "h", F.coalesce("label", "node").alias("root"))
@@ -332,36 +334,96 @@ def _links(rows: DataFrame, of_set: DataFrame, shared, scratch: Scratch) -> tupl
         taken *= 2
 
 
-def _missed(members: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
+def _missed(members: DataFrame, labels: DataFrame, rows: DataFrame, shared=None, scratch: Scratch | None = None) -> DataFrame:
     """Pairs a, b that share a set of over ALL, have different labels and agree in AGREE samples.
 
     In each set the nodes outside the largest group meet all nodes, in blocks that are
-    dealt over the tasks; the largest group is not compared with itself.
+    dealt over the tasks; the largest group is not compared with itself.  With ``shared``
+    weights the pairs are compared on whole texts where they meet, each in the first band
+    that its nodes share, and of the similar ones come as many as join the labels of a block.
     """
+    whole = shared is not None
+    nodes = rows.select(F.col("row").alias("node"), "marks", *(["bytes", "bands"] if whole else [F.lit(0).alias("bytes")]))
     placed = members.where(F.col("n") > ALL).select("sid", "node").join(labels, "node", "left").select("sid", "node", F.coalesce("label", "node").alias("label"))
-    sets = placed.groupBy("sid", "label").agg(F.count("*").alias("size")).groupBy("sid")
-    sets = sets.agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("n"), F.max("size").alias("most")).where("n > most")
-    block = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sets = sets.select("sid", "main", block(F.col("n") - F.col("most")).alias("of_rest"), block(F.col("n")).alias("of_all"))
-    each = placed.join(sets, "sid").join(rows.select(F.col("row").alias("node"), "marks"), "node")
+    placed = placed.join(nodes.select("node", "bytes"), "node")
+    sets = placed.groupBy("sid", "label").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes")).groupBy("sid")
+    sets = sets.agg(F.max_by(F.struct("label", "size", "bytes"), F.struct("size", "label")).alias("main"), F.sum("size").alias("n"), F.sum("bytes").alias("bytes")).where("n > main.size")
+    block = lambda n, size: F.ceil(F.greatest(n / F.lit(BLOCK), size / F.lit(BLOCK_BYTES))).cast("int")
+    sets = sets.select("sid", F.col("main.label").alias("main"), block(F.col("n") - F.col("main.size"), F.col("bytes") - F.col("main.bytes")).alias("of_rest"), block(F.col("n"), F.col("bytes")).alias("of_all"))
+    each = placed.drop("bytes").join(sets, "sid").join(nodes.drop("bytes"), "node").withColumn("outer", F.col("label") != F.col("main"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = each.where("label != main").select("sid", own("of_rest").alias("i"), upto("of_all").alias("j"), F.lit(True).alias("rest"), "node", "label", "marks")
-    every = each.select("sid", upto("of_rest").alias("i"), own("of_all").alias("j"), F.lit(False).alias("rest"), "node", "label", "marks")
-
-    def agreeing(both: pa.Table) -> pa.Table:
-        node, label, mine = (both.column(c).to_numpy() for c in ("node", "label", "rest"))
-        marks = both.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
-        of, groups, names = marks[~mine], label[~mine], node[~mine]
-        a, b = [], []
-        for k in np.flatnonzero(mine):
-            met = names[((of == marks[k]).sum(1) >= AGREE) & (groups != label[k])]
-            a.append(np.minimum(met, node[k]))
-            b.append(np.maximum(met, node[k]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
-
-    return rest.unionByName(every).groupBy("sid", "i", "j").applyInArrow(agreeing, "a long, b long").distinct()
+    columns = ["outer", "node", "label", "marks", *(["bands"] if whole else [])]
+    rest = each.where("outer").select("sid", own("of_rest").alias("i"), upto("of_all").alias("j"), F.lit(True).alias("rest"), *columns)
+    every = each.select("sid", upto("of_rest").alias("i"), own("of_all").alias("j"), F.lit(False).alias("rest"), *columns)
+    blocks = rest.unionByName(every).groupBy("sid", "i", "j")
+    if not whole:
+        return blocks.applyInArrow(_agreeing_pairs, "a long, b long").distinct()
+    facing = scratch.written(blocks.applyInArrow(_agreeing_nodes, "sid long, i int, j int, rest boolean, outer boolean, node long, label long"), "facing")
+    texts = rows.select(F.col("row").alias("node"), "marks", "bands", "z").hint("merge")
+
+    def joining(both: pa.Table) -> pa.Table:
+        return _joining_links(both, shared.value)
+
+    return facing.join(texts, "node").groupBy("sid", "i", "j").applyInArrow(joining, "a long, b long").distinct()
+
+
+def _agreeing(both: pa.Table, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each node of the rest in a block, and of those it agrees with under another label."""
+    mine, outer, node = (both.column(c).to_numpy() for c in ("rest", "outer", "node"))
+    lists = lambda c, n: both.column(c).combine_chunks().flatten().to_numpy().reshape(-1, n)
+    marks, keys = lists("marks", SAMPLES), lists("bands", BANDS) if "bands" in both.column_names else None
+    every = np.flatnonzero(~mine)
+    of, outside, names = marks[every], outer[every], node[every]
+    for k in np.flatnonzero(mine):
+        met = every[(np.count_nonzero(of == marks[k], axis=1) >= AGREE) & (label[every] != label[k]) & ~(outside & (names < node[k]))]
+        if keys is not None and len(met):  # a pair belongs to the first set that it shares
+            met = met[keys[k][(keys[met] == keys[k]).argmax(1)] == both.column("sid")[0].as_py()]
+        if len(met):
+            yield k, met
+
+
+def _agreeing_pairs(both: pa.Table) -> pa.Table:
+    node, a, b = both.column("node").to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, met in _agreeing(both, both.column("label").to_numpy()):
+        a.append(np.minimum(node[met], node[k]))
+        b.append(np.maximum(node[met], node[k]))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def _agreeing_nodes(both: pa.Table) -> pa.Table:
+    """The rows of a block that agree with any."""
+    some = np.zeros(both.num_rows, bool)
+    for k, met in _agreeing(both, both.column("label").to_numpy()):
+        some[k] = some[met] = True
+    return both.select(["sid", "i", "j", "rest", "outer", "node", "label"]).filter(pa.array(some))
+
+
+def _joining_links(both: pa.Table, frequent: Frequencies) -> pa.Table:
+    """Of the pairs of a block that agree and are similar, as many as join its labels."""
+    unpack, node, label = zstandard.ZstdDecompressor().decompress, both.column("node").to_numpy(), both.column("label").to_numpy().copy()
+    sets = [shingles(unpack(z.as_py())) for z in both.column("z")]
+    names, at = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True)
+    ends = np.cumsum([0, *(len(s) for s, _ in sets)])
+    at, weight = at.astype(np.int32), np.concatenate([frequent.weights(*x) for x in sets])
+    total = np.add.reduceat(weight, ends[:-1])
+    del sets
+    mine, links = np.zeros(len(names)), []
+    for k, met in _agreeing(both, label):
+        own = at[ends[k] : ends[k + 1]]
+        mine[own] = weight[ends[k] : ends[k + 1]]
+        for m in met:
+            if label[m] != label[k]:
+                part = slice(ends[m], ends[m + 1])
+                common = np.minimum(mine[at[part]], weight[part]).sum()
+                alike = common / (total[k] + total[m] - common)
+                if abs(alike - SIMILARITY) < 1e-9:  # on the border the order of the sums tells
+                    alike = similarity(names[own], mine[own], names[at[part]], weight[part])
+                if alike >= SIMILARITY:
+                    links.append(sorted((int(node[k]), int(node[m]))))
+                    label[label == label[m]] = label[k]
+        mine[own] = 0
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, shared, scratch: Scratch, many: bool) -> DataFrame:

@@ -203,3 +203,26 @@ def test_pairs_that_share_a_set_but_no_group(spark, monkeypatch):
     agree = lambda x, y: sum(p == q for p, q in zip(marks[x], marks[y], strict=True)) >= nd.AGREE
     want = {(x, y) for s in of.values() if len(s) > nd.ALL for x in s for y in s if x < y and label.get(x, x) != label.get(y, y) and agree(x, y)}
     assert got == want and 0 < len(want)
+
+
+def test_rows_follow_the_members_of_an_unlike_crowd(spark, make_docs, words, monkeypatch):
+    """Pairs that agree in their samples and are not similar are compared where they meet, and make no rows."""
+    made, missed = [], nd._missed
+
+    def counting(members, labels, rows, shared, scratch):
+        every = scratch.written
+        monkeypatch.setattr(scratch, "written", lambda df, name: (out := every(df, name), name == "facing" and made.append(out.count()))[0])
+        more = missed(members, labels, rows, shared, scratch)
+        made.append((more.count(), missed(members, labels, rows).count()))
+        return more
+
+    monkeypatch.setattr(nd, "_missed", counting)
+    docs = family(words, 150, of=650, edits=6)
+    assert nd.near_groups(make_docs(docs)).count() == len(docs)
+    facing, (links, pairs) = made
+    assert pairs > 10 * len(docs) and links < len(docs) and facing <= 2 * nd.BANDS * len(docs)
+
+
+def test_blocks_of_many_bytes_are_split(make_docs, words, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 4000)
+    test_no_link_is_left_to_the_leaders(make_docs, words, monkeypatch)
