@@ -3,7 +3,7 @@
 Weights are a text's counts of a shingle times its inverse document frequency.  Frequencies
 are counted exactly over all documents for every shingle that makes up 1/SHARE of all
 shingles or more (a document counts each of its shingles once); a rarer one weighs what one
-at that share does.  So the same shares give the same weights in tables of any size, and at
+at that share does, and none weighs less than what all documents have.  So the same shares give the same weights in tables of any size, and at
 most SHARE shingles have a count of their own.
 
 Texts with the same shingles and counts are one node.  A node draws SAMPLES improved
@@ -202,7 +202,7 @@ def frequencies(texts: DataFrame, scratch: Scratch) -> Frequencies:
     cells = texts.select("text").mapInArrow(in_cells, "block int, docs long, z binary").repartition("block")
     cells = scratch.written(cells.mapInArrow(summed, "block int, docs long, shingles long, z binary"), "cells")
     n, total = cells.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("shingles"), F.lit(0))).first()
-    floor = max(1.0, total / SHARE)
+    floor = max(1.0, min(total / SHARE, n))  # in few long texts the share may lie beyond their number
 
     def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress

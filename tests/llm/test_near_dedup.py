@@ -172,6 +172,18 @@ def test_frequencies_are_exact(spark, make_docs, words, monkeypatch, share):
     assert len(of.known) <= share
 
 
+def test_weights_of_few_long_texts(spark, make_docs, words, monkeypatch):
+    """A share of the shingles may be more than there are texts; no shingle is in more texts than that."""
+    monkeypatch.setattr(nd, "SHARE", 500)
+    docs = [(i, " ".join(words(i, 4000, 100_000))) for i in range(2)]
+    with Scratch(spark, "test") as scratch:
+        of = nd.frequencies(make_docs(docs).select("text"), scratch)
+    for _, t in docs:
+        s, times = nd.shingles(t.encode())
+        weights = of.weights(s, times)
+        assert np.allclose(weights, times) and np.isfinite(np.log(weights)).all()
+
+
 def test_no_link_is_left_to_the_leaders(make_docs, words, monkeypatch):
     """Without any link that the leaders find, what shares a large set still comes into one group."""
     found = nd._links
