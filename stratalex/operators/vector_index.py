@@ -11,13 +11,18 @@ clusters need few, vectors that lie anyhow need most.  An exact search compares
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stratalex.operators.retrieval import cosine
 
@@ -26,6 +31,12 @@ SAMPLE = 50_000
 ENTRIES, ROUNDS, SEED = 256, 12, 42
 #: Sample vectors that are asked to measure the recall.
 ASKED = 64
+#: Blocks that many queries are compared with: how many, about, with how many rows at least and numbers in their vectors at most.
+BLOCKS, LEAST_ROWS, BLOCK_NUMBERS = 64, 1024, 1 << 22
+#: Rows whose distances from all centres are taken at once.
+NEAREST = 1 << 10
+#: Pairs in a matrix product, pairs compared truly at once, what a product's rounding may be, and tasks at most.
+TILE, COMPARED, SLACK, MOST_TASKS = 1 << 21, 1 << 16, 1e-9, 4096
 
 
 class Quantiser(NamedTuple):
@@ -59,15 +70,21 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
+    out, sizes = np.zeros(len(x), np.int64), (centres**2).sum(1)
+    for at in range(0, len(x), NEAREST):  # so that distances stay in the cache
+        far = x[at : at + NEAREST] @ centres.T
+        far *= -2
+        far += sizes
+        out[at : at + NEAREST] = far.argmin(1)
+    return out
 
 
 def _k_means(x: np.ndarray, k: int, scaled: bool, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(ROUNDS):
         own = (x @ centres.T).argmax(1) if scaled else _nearest(x, centres)
-        sums, sizes = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
-        np.add.at(sums, own, x)
+        sizes = np.bincount(own, minlength=len(centres))
+        sums = np.stack([np.bincount(own, column, len(centres)) for column in x.T], 1)
         empty = sizes == 0
         centres = np.where(empty[:, None], x[rng.integers(0, len(x), len(centres))], sums / np.maximum(sizes, 1)[:, None])
         if scaled:
@@ -176,25 +193,118 @@ def search(spark: SparkSession, path: str, query: Sequence[float], k: int, probe
     return rows.select("id", cosine(F.col("vector"), query).alias("cos")).orderBy(F.desc("cos"), "id").limit(k)
 
 
+def _layout(sizes: dict[int, int], dim: int) -> dict[int, tuple[int, int]]:
+    """The first block of each cell and how many it has: small cells share a block, large ones are split."""
+    most = min(max(math.ceil(sum(sizes.values()) / BLOCKS), LEAST_ROWS), max(BLOCK_NUMBERS // max(dim, 1), 1))
+    out: dict[int, tuple[int, int]] = {}
+    block = held = 0
+    for cell, n in sorted(sizes.items()):
+        parts = -(-n // most)
+        if held and held + n > most:
+            block, held = block + 1, 0
+        out[cell] = (block, parts)
+        block, held = (block + parts, 0) if parts > 1 else (block, held + n)
+    return out
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products of two tables' rows, added in the order of the columns."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
+def _best(q: np.ndarray, x: np.ndarray, met: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in q and in x, and the cosine, of the k rows of x most like each row of q, the first ones where equal.
+
+    ``met`` tells which pairs count (None: all).  A matrix product finds what may be among the
+    k best, but for its rounding; that is compared by sums in a fixed order.  A vector whose
+    length a product could lose is always compared so.
+    """
+    qq, xx = _dots(q, q), _dots(x, x)
+    plain = lambda sq: (sq > 1e-100) & (sq < 1e100)
+    scaled = lambda a, sq: np.divide(a, np.sqrt(sq)[:, None], out=np.zeros_like(a), where=plain(sq)[:, None])
+    near_q, near_x, odd = scaled(q, qq), scaled(x, xx).T.copy(), ~plain(xx)
+    found = []
+    for at in range(0, len(q), step := max(TILE // len(x), 1)):
+        tile = slice(at, at + step)
+        near = near_q[tile] @ near_x
+        if met is not None:
+            near[~met[tile]] = -np.inf
+        near[:, odd] = -np.inf
+        least = np.partition(near, -k, axis=1)[:, -k] - SLACK if k < len(x) else np.full(len(near), -np.inf)
+        take = (near >= least[:, None]) | odd | ~plain(qq[tile])[:, None]
+        if met is not None:
+            take &= met[tile]
+        i, j = np.nonzero(take)
+        cos = np.zeros(len(i))
+        for c in range(0, len(i), COMPARED):
+            some = slice(c, c + COMPARED)
+            a, b = i[some] + at, j[some]
+            size = np.sqrt(qq[a] * xx[b])
+            cos[some] = np.divide(_dots(q[a], x[b]), size, out=np.zeros(len(a)), where=~(size <= 0))
+        order = np.lexsort((j, np.where(np.isnan(cos), -np.inf, -cos), i))
+        i, j, cos = i[order], j[order], cos[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[first] + at, j[first], cos[first]))
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def _table(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+
+
 def search_many(queries: DataFrame, id_col: str, vector: str, path: str, k: int, probes: int | None = None) -> DataFrame:
     """query_id, id, cos, rank: the k most similar rows for each row of ``queries``, from the cells that it probes.
 
-    Queries meet the rows of their cells in a join by cell, whose large cells are split; ranks
-    are cut to k in each task before the shuffle.
+    Cells are dealt to blocks of a bounded size.  A query goes to the blocks of its cells, and
+    each block is compared as matrices with a bounded part of its queries, in a task that
+    returns k rows for each; so neither pairs nor whole tables pass anything.
     """
-    q = read_quantiser(queries.sparkSession, path)
-    shared = queries.sparkSession.sparkContext.broadcast(q)
-
-    @F.pandas_udf("array<int>")
-    def cells(vectors: pd.Series) -> pd.Series:
-        near = np.array(vectors.tolist(), float).reshape(len(vectors), -1) @ shared.value.centres.T
-        return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, : probes or shared.value.probes].astype(np.int32)))
-
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), F.explode(cells(vector)).alias("cell"))
-    met = asked.join(_rows(queries.sparkSession, path, None).drop("codes"), "cell")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    size = F.sqrt(dot(F.col("_q"), F.col("_q")) * dot(F.col("vector"), F.col("vector")))
-    met = met.select("query_id", "id", F.when(size > 0, dot(F.col("_q"), F.col("vector")) / size).otherwise(0.0).alias("cos"))
+    spark = queries.sparkSession
+    q = read_quantiser(spark, path)
+    rows = _rows(spark, path, None).drop("codes")
+    layout = _layout({r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}, q.centres.shape[1])  # a row for each cell
+    shared = spark.sparkContext.broadcast((q, layout))
+
+    @F.pandas_udf("array<struct<block:int,cells:array<int>>>")
+    def blocks(vectors: pd.Series) -> pd.Series:
+        q, layout = shared.value
+        near = np.array(vectors.tolist(), float).reshape(len(vectors), -1) @ q.centres.T
+        out = []
+        for cells in np.argsort(-near, axis=1, kind="stable")[:, : probes or q.probes].tolist():
+            of: dict[int, list[int]] = {}
+            for c in cells:
+                for b in range(layout[c][0], sum(layout[c])) if c in layout else ():
+                    of.setdefault(b, []).append(c)
+            out.append([{"block": b, "cells": v} for b, v in of.items()])
+        return pd.Series(out)
+
+    known = queries.where(F.col(vector).isNotNull())
+    parts = max(-(-known.count() // max(BLOCK_NUMBERS // q.centres.shape[1], 1)), 1)
+    asked = known.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q"), F.pmod(F.xxhash64(id_col, vector), F.lit(parts)).cast("int").alias("part"), F.explode(blocks(vector)).alias("b"))
+    asked = asked.select("query_id", "_q", "part", "b.block", "b.cells")
+    places = spark.createDataFrame([(c, *of) for c, of in layout.items()], "cell int, first int, n int")
+    block = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int")
+    dealt = rows.join(F.broadcast(places), "cell").select("id", "vector", "cell", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def compared(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(asked) or not len(rows):
+            return schema.empty_table()
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending")], null_placement="at_start"))
+        own, at = np.unique(rows["cell"].to_numpy(), return_inverse=True)
+        probe = np.array([np.isin(own, c) for c in asked["cells"].to_pylist()])
+        i, j, cos = _best(_table(asked["_q"]), _table(rows["vector"]), None if probe.all() else probe[:, at], k)
+        return pa.Table.from_arrays([asked["query_id"].take(pa.array(i)), rows["id"].take(pa.array(j)), pa.array(cos)], schema=schema)
+
+    kinds = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField("id", rows.schema["id"].dataType), StructField("cos", DoubleType())])
+    schema = to_arrow_schema(kinds)
+    # a number of partitions of its own, as groups are small but take long
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4 * parts * max(map(sum, layout.values()), default=1), MOST_TASKS))
+    asked, dealt = (d.repartition(n, "block", "part") for d in (asked, dealt))
+    met = asked.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInArrow(compared, kinds)
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "id"))).where(F.col("rank") <= k)
 
 

@@ -105,6 +105,32 @@ def test_many_queries(spark, vectors, cells):
     assert all(1 <= x["rank"] <= 10 for x in got)
 
 
+def test_many_queries_in_blocks_equal_comparing_all(spark, tmp_path, monkeypatch):
+    for name, n in (("LEAST_ROWS", 7), ("BLOCK_NUMBERS", 60), ("TILE", 40), ("COMPARED", 9)):
+        monkeypatch.setattr(vector_index, name, n)
+    r = random.Random(3)
+    some = [[float(r.randrange(-2, 3)) for _ in range(3)] for _ in range(40)]
+    rows = [(i, some[i % 40] if i % 11 else [x * r.choice([1e-90, 1.0, 1e60]) for x in some[i % 40]]) for i in range(200)] + [(300, [0.0, 0.0, 0.0]), (301, [float("nan"), 0.0, 1.0]), (302, None)]
+    table = spark.createDataFrame(rows, "id long, v array<double>")
+    path = str(tmp_path / "index")
+    cells = vector_index.write(table, "id", "v", path, cells=6, parts=3).centres.shape[0]
+    some = table.where("id % 3 = 0 or id > 290")
+    for k in (1, 6, 500):
+        found = vector_index.search_many(some, "id", "v", path, k, probes=cells)
+        got = {}
+        for x in found.orderBy("query_id", "rank").collect():
+            got.setdefault(x["query_id"], []).append((x["id"], str(x["cos"])))
+        dot = "aggregate(zip_with(q, v, (x, y) -> x * y), 0D, (a, x) -> a + x)"
+        pairs = some.where("v is not null").selectExpr("id as query_id", "v as q").crossJoin(table.where("v is not null"))
+        size = f"sqrt({dot.replace('(q, v,', '(q, q,')} * {dot.replace('(q, v,', '(v, v,')})"
+        want = {}
+        for x in pairs.selectExpr("query_id", "id", f"if({size} > 0, {dot} / {size}, 0D) as cos").orderBy("query_id", F.desc("cos"), "id").collect():
+            want.setdefault(x["query_id"], []).append((x["id"], str(x["cos"])))
+        assert got == {q: x[:k] for q, x in want.items()}
+    # blocks meet whole; no join makes a row of each pair of a query and a vector
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_copies_zeros_and_nulls(spark, tmp_path):
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(400)] + [(1000 + i, [float(i % 7), float(i % 5), 1.0]) for i in range(600)] + [(5000, [0.0, 0.0, 0.0]), (5001, None)]
     table = spark.createDataFrame(rows, "id long, v array<double>")
