@@ -18,7 +18,7 @@ def write_store(chunks: DataFrame, path: str) -> None:
     """What questions read beside the chunks: the text index with the grades, and the vectors by chunk id."""
     block_index.write(chunks, "chunk_id", list(FIELDS), f"{path}/text", ["grade"])
     vectors = chunks.select(F.col("chunk_id").alias("vec_id"), embedding.embed_local("content").alias("embedding"))
-    vectors.write.parquet(f"{path}/vectors")
+    vectors.write.option("compression", "zstd").parquet(f"{path}/vectors")
 
 
 def asked(spark: SparkSession, question: str, stage: str) -> tuple[list[str], list[float]]:

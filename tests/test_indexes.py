@@ -43,6 +43,34 @@ def test_blocks_are_skipped(spark, index):
     assert every > 60 and read < every / 2
 
 
+def test_documents_stand_once(spark, docs, index):
+    # no row, shuffled or stored, repeats the id, length or grade of a document for each of its terms
+    blocks = spark.read.parquet(f"{index}/blocks")
+    assert dict(blocks.dtypes) == {"field": "string", "term": "string", "block": "bigint", "n": "int", "best": "float", "entries": "array<bigint>"}
+    got = spark.read.parquet(f"{index}/documents").select(F.explode("id").alias("id")).collect()
+    assert sorted(r["id"] for r in got) == sorted(r["id"] for r in docs.collect())
+    want = {f: {(r["term"], r["n"]) for r in retrieval.postings(docs, "id", f).groupBy("term").agg(F.sum("tf").alias("n")).collect()} for f in FIELDS}
+    for f in FIELDS:
+        found = blocks.where(F.col("field") == f).select("term", F.explode("entries").alias("e")).groupBy("term").agg(F.sum(F.floor(F.col("e") / block_index.BLOCK)).alias("n")).collect()
+        assert {(r["term"], r["n"]) for r in found} == want[f]
+
+
+@pytest.mark.parametrize("part", [1, 3])
+def test_blocks_of_uneven_batches(docs, monkeypatch, part):
+    import pyarrow as pa
+
+    monkeypatch.setattr(block_index, "PART", part)
+    words = pa.array([["a", "b", "a"], [], ["c"], None, ["a"]] * 41, pa.list_(pa.string()))
+    b = pa.RecordBatch.from_arrays([pa.array(range(205)), words, pa.array([5] * 205)], ["id", "_w0", "_task"])
+    schema = pa.schema([("field", pa.string()), ("term", pa.string()), ("block", pa.int64()), ("best", pa.float32()), ("entries", pa.list_(pa.int64())), ("id", pa.list_(pa.int64())), ("_dl_f", pa.list_(pa.int32()))])
+    rows = [r for x in block_index._blocks(["f"], {"f": 1.0}, ["id"], schema)(iter([b.slice(0, 70), b.slice(70), b.slice(0, 0)])) for r in x.to_pylist()]
+    of = {(r["block"], i): (x, dl) for r in rows if r["term"] is None for i, (x, dl) in enumerate(zip(r["id"], r["_dl_f"], strict=True))}
+    assert sorted(x for x, _ in of.values()) == list(range(205)) and max(i for _, i in of) < block_index.BLOCK
+    got = sorted((*of[r["block"], e % block_index.BLOCK], r["term"], e // block_index.BLOCK) for r in rows if r["term"] for e in r["entries"])
+    lists = words.to_pylist()
+    assert got == sorted((i, len(w), t, w.count(t)) for i, w in enumerate(lists) if w for t in set(w))
+
+
 def test_block_index_of_nothing(spark, docs, tmp_path):
     block_index.write(docs.limit(0), "id", list(FIELDS), str(tmp_path / "none"))
     assert block_index.search(spark, str(tmp_path / "none"), ["hot"], FIELDS, 5).count() == 0
