@@ -38,6 +38,54 @@ def test_block_search_equals_scoring_all(spark, docs, index, terms, k):
         assert sorted(got) == sorted((r["id"], round(r["bm25"], 9)) for r in want)
 
 
+#: Null and repeated ids, null and empty texts, texts without words, words that come again.
+ODD = [(1, "b a b  c"), (1, "b d"), (None, "a a"), (None, "q a"), (2, None), (3, ""), (4, "z,"), (5, "..."), (6, "a 函数函数 x A"), (7, "same"), (7, "same")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, "id long, t string")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def figures(postings):
+    # the length of an id with several texts is that of any of them
+    return sorted((str(r["term"]), str(r["id"]), r["tf"]) for r in postings.collect())
+
+
+def test_postings_in_order_hold_no_table(odd):
+    got = retrieval.postings(odd, "id", "t", in_order=True)
+    # rows pass one shuffle into their order and are summed up as they come
+    assert plan(got).count("Exchange") == 1 and "Exchange rangepartitioning" in plan(got)
+    assert "SortAggregate" in plan(got) and "HashAggregate" not in plan(got)
+    assert got.schema.simpleString() == "struct<term:string,id:bigint,tf:bigint,dl:int>"
+    assert figures(got) == figures(retrieval.postings(odd, "id", "t"))
+    want = {("b", 1): 3, ("a", 1): 1, ("c", 1): 1, ("d", 1): 1, ("a", None): 3, ("q", None): 1, ("z", 4): 1, ("a", 6): 2, ("x", 6): 1, ("函数", 6): 2, ("数函", 6): 1, ("same", 7): 2}
+    assert {(r["term"], r["id"]): r["tf"] for r in got.collect()} == want
+    assert {r["id"]: r["dl"] for r in got.collect() if r["id"] in (4, 6, 7)} == {4: 1, 6: 6, 7: 1}
+
+
+def test_postings_of_lists(spark):
+    lists = spark.createDataFrame([(1, ["b", None, "a b", None, "", "b"]), (2, None), (3, []), (4, [None])], "id long, t array<string>")
+    want = [("", "1", 1), ("None", "1", 2), ("None", "4", 1), ("a b", "1", 1), ("b", "1", 2)]
+    assert figures(retrieval.postings(lists, "id", "t")) == figures(retrieval.postings(lists, "id", "t", in_order=True)) == want
+
+
+def test_written_postings_are_in_order(spark, docs, tmp_path):
+    path = str(tmp_path / "index")
+    retrieval.write_index(docs, "id", list(FIELDS), path)
+    for file in (tmp_path / "index/postings").glob("*.parquet"):
+        rows = [(r["field"], r["term"], r["id"]) for r in spark.read.parquet(str(file)).collect()]
+        assert rows == sorted(rows)
+    got = spark.read.parquet(f"{path}/postings")
+    for f in FIELDS:
+        assert figures(got.where(F.col("field") == f)) == figures(retrieval.postings(docs, "id", f))
+    assert {r["field"]: r["n"] for r in spark.read.parquet(f"{path}/figures").collect()} == dict.fromkeys(FIELDS, docs.count())
+
+
 def test_blocks_are_skipped(spark, index):
     read, every = block_index.blocks_read(spark, index, ["hot", "rare"], FIELDS, 1)
     assert every > 60 and read < every / 2
